@@ -38,7 +38,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         df,
         "l_orderkey",
         LINE_ORDER,
-        block_on=F.col("l_linenumber") * F.lit(2.0**40) + F.col("l_partkey"),
+        block_on=["l_linenumber", "l_partkey"],
         _rn=o.row_number(),
     )
     return ranked.withColumn("pos", F.col("_rn") - 1).drop("_rn")

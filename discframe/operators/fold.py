@@ -94,7 +94,7 @@ def fold(
     step: Step,
     outputs: list[tuple[str, T.DataType]],
     *,
-    block_on: str | Column | None = None,
+    block_on: list[str | Column] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """*df* plus *outputs* computed by *step* along *order* inside *key*."""
@@ -112,7 +112,7 @@ def fold(
         )
         return rows.mapInArrow(_stream(step, key, read, outputs, None), result)
 
-    spread = with_blocks(df, key, _col(block_on or order[0]), limit).drop("_hot")
+    spread = with_blocks(df, key, [_col(c) for c in block_on or order[:1]], limit).drop("_hot")
     spread = cut_lineage(spread)
     unit = [*key, "_blk"]
     field = {f.name: f for f in spread.schema.fields}

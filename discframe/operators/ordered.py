@@ -90,54 +90,72 @@ def next_after(expr: str | Column) -> Fn:
     return Fn("next_after", _col(expr))
 
 
+def _leaves(df: DataFrame) -> frozenset[int]:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return frozenset(leaves.apply(i).semanticHash() for i in range(leaves.size()))
+
+
 def has_hot_group(df: DataFrame, key: list[str], limit: int) -> bool:
     """Whether a group has more than *limit* rows (one key-only partial aggregate).
 
-    The answer is remembered per optimized plan of the key projection; a stale
-    answer could only cost speed, never results.
+    The first key column is asked first: when its groups are small, so are all finer
+    ones.  Answers are remembered per source tables and key, so a chain of operators
+    over the same tables asks once; the answer only chooses between two plans with
+    equal results.
     """
+    if len(key) > 1 and not has_hot_group(df, key[:1], limit):
+        return False
     keys = df.select(*key)
-    plan = keys._jdf.queryExecution().optimizedPlan()
-    tag = (df.sparkSession.sparkContext.applicationId, plan.semanticHash(), limit)
+    tag = (df.sparkSession.sparkContext.applicationId, _leaves(keys), tuple(key), limit)
     if tag not in _memo:
         size = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
         _memo[tag] = not size.filter(F.col("_n") > limit).isEmpty()
     return _memo[tag]
 
 
-def _order_value(df: DataFrame, block_on: Column) -> Column:
-    kind = dict(df.select(block_on.alias("v")).dtypes)["v"]
+def _number(df: DataFrame, column: Column) -> Column:
+    kind = dict(df.select(column.alias("v")).dtypes)["v"]
     if kind.startswith("timestamp"):
-        return F.unix_micros(block_on.cast("timestamp")).cast("double")
-    return block_on.cast("double")
+        return F.unix_micros(column.cast("timestamp")).cast("double")
+    if kind == "string":
+        return F.ascii(column).cast("double")
+    return column.cast("double")
 
 
 def with_blocks(
-    df: DataFrame, key: list[str], block_on: Column, limit: int, name: str = "_blk"
+    df: DataFrame, key: list[str], block_on: list[Column], limit: int, name: str = "_blk"
 ) -> DataFrame:
     """Add *name*: 0 for normal groups, an order-preserving block number for hot ones.
 
-    ``_hot`` tells the two apart.
+    *block_on* is a prefix of the row order; several columns combine as digits of one
+    number whose bases are their ranges inside the hot group.  NULL sorts lowest, as in
+    the windows.  ``_hot`` tells hot groups apart.
     """
-    value = _order_value(df, block_on)
+    digits = [_number(df, c) for c in block_on]
+    names = [f"_v{i}" for i in range(len(digits))]
+    bounds = []
+    for n in names:
+        bounds += [F.min(n).alias(f"{n}lo"), F.max(n).alias(f"{n}hi")]
     hot = (
-        df.select(*key, value.alias("_v"))
+        df.select(*key, *[d.alias(n) for d, n in zip(digits, names)])
         .groupBy(*key)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_v").alias("_lo"),
-            F.max("_v").alias("_hi"),
-        )
+        .agg(F.count(F.lit(1)).alias("_n"), *bounds)
         .filter(F.col("_n") > limit)
     )
+    value, span = F.lit(0.0), F.lit(1.0)
+    for digit, n in zip(digits, names):
+        base = F.coalesce(F.col(f"{n}hi") - F.col(f"{n}lo"), F.lit(0.0)) + 1.0
+        low = F.coalesce(F.col(f"{n}lo"), F.lit(0.0))
+        value = value * base + F.coalesce(digit - low, F.lit(0.0))
+        span = span * base
     blocks = F.ceil(F.col("_n") * 2 / F.lit(limit)).cast("double")
-    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    spot = F.least(blocks - 1, F.floor((value - F.col("_lo")) * blocks / width))
+    spot = F.least(blocks - 1, F.floor(value * blocks / span))
+    drops = ["_n", *[f"{n}{end}" for n in names for end in ("lo", "hi")]]
     return (
         df.join(F.broadcast(hot), key, "left")
         .withColumn(name, F.coalesce(spot.cast("long"), F.lit(0).cast("long")))
         .withColumn("_hot", F.col("_n").isNotNull())
-        .drop("_n", "_lo", "_hi")
+        .drop(*drops)
     )
 
 
@@ -231,15 +249,15 @@ def ordered(
     key: str | list[str],
     order: list[str | Column],
     *,
-    block_on: str | Column | None = None,
+    block_on: list[str | Column] | None = None,
     limit: int | None = None,
     **outputs: Fn,
 ) -> DataFrame:
     """*df* plus one column per entry of *outputs*, evaluated along *order* in *key*.
 
     *order* is ascending and must identify a row inside its group for functions that
-    depend on it.  *block_on* (default: the first order column) is the number or time
-    hot groups are split by.
+    depend on it.  *block_on* (default: the first order column) is the prefix of the
+    order that hot groups are split by.
     """
     key = [key] if isinstance(key, str) else list(key)
     columns = [_col(c) for c in order]
@@ -248,7 +266,7 @@ def ordered(
         window = Window.partitionBy(*key).orderBy(*columns)
         return df.withColumns({n: _local(f, window) for n, f in outputs.items()})
 
-    split = with_blocks(df, key, _col(block_on if block_on is not None else order[0]), limit)
+    split = with_blocks(df, key, [_col(c) for c in block_on or order[:1]], limit)
     window = Window.partitionBy(*key, "_blk").orderBy(*columns)
     summary = (
         split.filter("_hot")

@@ -183,7 +183,7 @@ def select_explicit(streams: DataFrame, selectors: list[str]) -> DataFrame:
         chosen,
         "title_id",
         ["selector", "pos"],
-        block_on=F.col("selector") * F.lit(2.0**40) + F.col("pos"),
+        block_on=["selector", "pos"],
         _rn=o.row_number(),
     )
     return numbered.withColumn("out_idx", F.col("_rn") - 1).drop("_rn")
