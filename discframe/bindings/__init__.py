@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing this package registers them all."""
 
-from discframe.bindings import aggregate, joins, project, sequence  # noqa: F401
+from discframe.bindings import aggregate, functions, joins, project, sequence, timeline  # noqa: F401
 from discframe.bindings.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
