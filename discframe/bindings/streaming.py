@@ -29,13 +29,13 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def _run(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything a stream emits, through a parquet sink in the shared folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         shared = tempfile.mkdtemp(prefix="discframe-stream-")
     folder = f"{shared}/stream-{uuid.uuid4().hex}"
-    jobs.run_available(stream, folder)
+    jobs.run_available(stream, folder, mode)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -112,3 +112,34 @@ def _(spark, sf_dir):
 @query("x6_stalled")
 def _(spark, sf_dir):
     return _run(spark, jobs.stalled(event_stream(spark, sf_dir), "2 hours"))
+
+
+@query("x4_scan_vote_stream", f"""WITH {b.TICKS}, f AS (SELECT stream_id, kind <> 'signup' AS interlaced,
+  CASE WHEN k % 3 = 0 THEN NULL ELSE stream_id % 2 = 0 OR k = 1 END AS tff FROM ticks),
+c AS (SELECT stream_id, count(*) AS n, count(*) FILTER (WHERE interlaced) AS n_interlaced,
+  count(*) FILTER (WHERE interlaced AND tff) AS t, count(*) FILTER (WHERE interlaced AND NOT tff) AS b FROM f GROUP BY 1)
+SELECT stream_id, n, n_interlaced, CASE WHEN n < 24 THEN NULL WHEN n_interlaced = 0 THEN 'progressive'
+  WHEN n_interlaced < 0.7 * n THEN NULL WHEN t > 0 AND b = 0 THEN 'tff' WHEN b > 0 AND t = 0 THEN 'bff' END AS scan FROM c""")
+def _(spark, sf_dir):
+    frames = event_stream(spark, sf_dir).select(
+        "stream_id",
+        (F.col("kind") != "signup").alias("interlaced"),
+        F.when(F.col("k") % 3 != 0, (F.col("stream_id") % 2 == 0) | (F.col("k") == 1)).alias("top_field_first"),
+    )
+    return _run(spark, jobs.scan_vote_stream(frames, min_share=0.7), "complete")
+
+
+@query("x5_drift_stream")
+def _(spark, sf_dir):
+    # Every event is one clip of its track, with three frames at its end.
+    frames = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: (i * 2880 + F.col("pts") % 40).cast("long"))
+    tails = event_stream(spark, sf_dir).select(
+        F.col("stream_id").alias("track"),
+        "ts",
+        F.col("ts_us").alias("clip"),
+        (F.lit(8640) - F.col("k") * 10).alias("video_end"),
+        F.lit(2880).cast("long").alias("frame"),
+        frames.alias("pts"),
+        F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: i.cast("long")).alias("offsets"),
+    )
+    return _run(spark, jobs.drift_stream(tails))

@@ -50,11 +50,11 @@ def edition_edges(
     also reach that part of the shorter one.
     """
     played = items.select("title_id", "clip_id", F.col("duration").alias("item_seconds"))
-    placed = played.join(titles.select("disc_id", "title_id", "title_idx", "duration"), "title_id")
+    placed = cut_lineage(played.join(titles.select("disc_id", "title_id", "title_idx", "duration"), "title_id"))
     signed = set_signature(placed, ["disc_id", "title_idx", "duration"], "clip_id")
     same = ["disc_id", "n", "sig_a", "sig_b", "duration"]
     members = o.with_group(signed.filter(F.col("n") >= k), same, rep=F.min("title_idx"))
-    members = members.select("disc_id", "title_idx", "rep", "duration")
+    members = cut_lineage(members.select("disc_id", "title_idx", "rep", "duration"))
     reps = members.filter(F.col("title_idx") == F.col("rep")).select("disc_id", "title_idx", "duration")
     rows = placed.join(reps.select("disc_id", "title_idx"), ["disc_id", "title_idx"], "left_semi")
     pairs, _ = _similar_pairs(rows, "disc_id", "title_idx", "clip_id", k)
@@ -169,7 +169,7 @@ def edition_atoms(editions: DataFrame, union: DataFrame, marks: DataFrame) -> Da
     )
     key = "_edition"
     played = played.withColumn(key, F.struct(*unit))
-    virtual = s.with_offsets(played, key, "pos", "clip_duration", "v_start")
+    virtual = cut_lineage(s.with_offsets(played, key, "pos", "clip_duration", "v_start"))
     payload = ["pos", "clip_start", "clip_duration"]
     located = asof_interval(
         marks.select(F.struct(*unit).alias(key), "t"), virtual, key, "t", "v_start", payload, -EPSILON

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from discframe.operators import ordered as o
 from discframe.operators.aggregate import exact_median
 from discframe.operators.joins import asof_interval
+from discframe.session import cut_lineage
 
 EPSILON = 1e-3
 
@@ -82,8 +83,8 @@ def packed_episodes(marks: DataFrame, titles: DataFrame, rules: Rules = Rules())
     behind the ending run of short segments in front of its anchor; intros recurring
     like the title's own lead-in belong to the episode they open.
     """
-    gaps = _gaps(marks, titles)
-    anchors = find_anchors(gaps, rules).withColumn("anchor", F.lit(True))
+    gaps = cut_lineage(_gaps(marks, titles))
+    anchors = cut_lineage(find_anchors(gaps, rules).withColumn("anchor", F.lit(True)))
     long_at = F.when(F.col("gap") >= rules.short, F.col("i"))
     rows = gaps.join(anchors, ["title_id", "i"], "left").join(
         anchors.groupBy("title_id").agg(F.min("i").alias("_a0"), F.max("typical").alias("_typical")), "title_id"
@@ -102,7 +103,7 @@ def packed_episodes(marks: DataFrame, titles: DataFrame, rules: Rules = Rules())
         F.max(F.when((F.col("i") == F.col("_a0")) & (F.col("run") == F.col("i")), F.col("i"))).alias("_lead"),
         F.min("t").alias("_t0"),
     )
-    told = runs.join(facts.withColumn("_lead", F.coalesce("_lead", F.lit(0))), "title_id")
+    told = cut_lineage(runs.join(facts.withColumn("_lead", F.coalesce("_lead", F.lit(0))), "title_id"))
     # Where every run is equally long, compare the marks just before each later anchor
     # with the lead-in, place by place.
     compares = (
@@ -131,12 +132,12 @@ def packed_episodes(marks: DataFrame, titles: DataFrame, rules: Rules = Rules())
     starts = spots.join(gaps.select("title_id", "i", "t"), ["title_id", "i"]).select(
         "title_id", F.col("t").alias("start"), "_by"
     )
-    first = facts.select("title_id", F.col("_t0").alias("start"), F.lit(-1).alias("_by"))
+    first = told.select("title_id", "_t0").distinct().select("title_id", F.col("_t0").alias("start"), F.lit(-1).alias("_by"))
     timed = starts.unionByName(first).join(titles.select("title_id", "duration"), "title_id").join(
         anchors.groupBy("title_id").agg(F.max("typical").alias("typical")), "title_id"
     )
     cut = o.ordered(timed, "title_id", ["_by"], _rn=o.row_number(), _next=o.lead("start"))
-    segments = cut.select(
+    segments = cut_lineage(cut).select(
         "title_id",
         (F.col("_rn") - 1).alias("seg_idx"),
         "start",

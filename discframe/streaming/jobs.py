@@ -245,16 +245,15 @@ def parse_progress(text: Column) -> Column:
     return F.least(F.get(F.reverse(found), F.lit(0)).cast("int"), F.lit(100))
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append", table: str | None = None) -> None:
-    """Run a stream over everything available and stop.
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> None:
+    """Run a stream over everything available and stop; results go to ``<folder>/out``.
 
-    Appended rows go to parquet under *folder*; other modes need an in-memory *table* and
-    are meant for small results such as running aggregates in tests.
+    Appended rows use the parquet sink; in complete mode every batch replaces the last.
     """
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{folder}/out")
     else:
-        writer = writer.format("memory").queryName(table)
+        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"))
     running = writer.trigger(availableNow=True).start()
     running.awaitTermination()
