@@ -53,7 +53,7 @@ def _stream(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, entered = None, None, None
         for batch in batches:
-            starts = batch.column("_in").to_pylist()
+            starts = batch.column("__in").to_pylist()
             produced, ended = [], []
             for group, row, start in zip(_lists(batch, key), _lists(batch, read), starts):
                 if group != current:
@@ -66,7 +66,7 @@ def _stream(
             if states is not None:
                 yield _rows(ended, states)
                 continue
-            names = [n for n in batch.schema.names if n != "_in"]
+            names = [n for n in batch.schema.names if n != "__in"]
             columns = list(zip(*produced)) if produced else [()] * len(outputs)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names]
@@ -106,18 +106,18 @@ def fold(
 
     if not has_hot_group(df, key, limit):
         rows = (
-            df.withColumn("_in", F.lit(None).cast("string"))
+            df.withColumn("__in", F.lit(None).cast("string"))
             .repartition(*key)
             .sortWithinPartitions(*key, *order)
         )
         return rows.mapInArrow(_stream(step, key, read, outputs, None), result)
 
-    spread = with_blocks(df, key, [_col(c) for c in block_on or order[:1]], limit).drop("_hot")
+    spread = with_blocks(df, key, [_col(c) for c in block_on or order[:1]], limit).drop("__hot")
     spread = cut_lineage(spread)
-    unit = [*key, "_blk"]
+    unit = [*key, "__blk"]
     field = {f.name: f for f in spread.schema.fields}
     state_type = T.StructType(
-        [*[field[c] for c in unit], T.StructField("_in", T.StringType()), T.StructField("_out", T.StringType())]
+        [*[field[c] for c in unit], T.StructField("__in", T.StringType()), T.StructField("__out", T.StringType())]
     )
 
     arrow = pa.schema([(f.name, _ARROW[f.dataType]) for f in state_type.fields])
@@ -128,22 +128,22 @@ def fold(
 
     # Only hot keys have more than one block, so the state table stays small:
     # one row per block.
-    blocks = spread.filter(F.col("_blk") > 0).select(*key).distinct()
+    blocks = spread.filter(F.col("__blk") > 0).select(*key).distinct()
     hot = spread.join(F.broadcast(blocks), key, "left_semi")
-    states = cut_lineage(run_states(hot.withColumn("_in", F.lit(None).cast("string"))))
-    window = Window.partitionBy(*key).orderBy("_blk")
+    states = cut_lineage(run_states(hot.withColumn("__in", F.lit(None).cast("string"))))
+    window = Window.partitionBy(*key).orderBy("__blk")
     while True:
-        wanted = states.withColumn("_want", F.lag("_out", 1).over(window))
-        stale = wanted.filter(~F.col("_want").eqNullSafe(F.col("_in")))
-        stale = cut_lineage(stale.select(*unit, F.col("_want").alias("_in")))
+        wanted = states.withColumn("__want", F.lag("__out", 1).over(window))
+        stale = wanted.filter(~F.col("__want").eqNullSafe(F.col("__in")))
+        stale = cut_lineage(stale.select(*unit, F.col("__want").alias("__in")))
         if stale.isEmpty():
             break
         again = run_states(hot.join(F.broadcast(stale), unit, "inner"))
         kept = states.join(F.broadcast(stale.select(*unit)), unit, "left_anti")
         states = cut_lineage(kept.unionByName(again))
     rows = (
-        spread.join(F.broadcast(states.select(*unit, "_in")), unit, "left")
-        .select(*spread.columns, "_in")
+        spread.join(F.broadcast(states.select(*unit, "__in")), unit, "left")
+        .select(*spread.columns, "__in")
         .repartition(*unit)
         .sortWithinPartitions(*unit, *order)
     )

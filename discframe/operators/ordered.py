@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from discframe.session import group_rows
+from discframe.session import cut_lineage, group_rows
 
 _memo: dict[tuple, bool] = {}
 
@@ -108,8 +108,8 @@ def has_hot_group(df: DataFrame, key: list[str], limit: int) -> bool:
     keys = df.select(*key)
     tag = (df.sparkSession.sparkContext.applicationId, _leaves(keys), tuple(key), limit)
     if tag not in _memo:
-        size = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        _memo[tag] = not size.filter(F.col("_n") > limit).isEmpty()
+        size = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+        _memo[tag] = not size.filter(F.col("__n") > limit).isEmpty()
     return _memo[tag]
 
 
@@ -123,24 +123,24 @@ def _number(df: DataFrame, column: Column) -> Column:
 
 
 def with_blocks(
-    df: DataFrame, key: list[str], block_on: list[Column], limit: int, name: str = "_blk"
+    df: DataFrame, key: list[str], block_on: list[Column], limit: int, name: str = "__blk"
 ) -> DataFrame:
     """Add *name*: 0 for normal groups, an order-preserving block number for hot ones.
 
     *block_on* is a prefix of the row order; several columns combine as digits of one
     number whose bases are their ranges inside the hot group.  NULL sorts lowest, as in
-    the windows.  ``_hot`` tells hot groups apart.
+    the windows.  ``__hot`` tells hot groups apart.
     """
     digits = [_number(df, c) for c in block_on]
-    names = [f"_v{i}" for i in range(len(digits))]
+    names = [f"__v{i}" for i in range(len(digits))]
     bounds = []
     for n in names:
         bounds += [F.min(n).alias(f"{n}lo"), F.max(n).alias(f"{n}hi")]
     hot = (
         df.select(*key, *[d.alias(n) for d, n in zip(digits, names)])
         .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_n"), *bounds)
-        .filter(F.col("_n") > limit)
+        .agg(F.count(F.lit(1)).alias("__n"), *bounds)
+        .filter(F.col("__n") > limit)
     )
     value, span = F.lit(0.0), F.lit(1.0)
     for digit, n in zip(digits, names):
@@ -148,13 +148,13 @@ def with_blocks(
         low = F.coalesce(F.col(f"{n}lo"), F.lit(0.0))
         value = value * base + F.coalesce(digit - low, F.lit(0.0))
         span = span * base
-    blocks = F.ceil(F.col("_n") * 2 / F.lit(limit)).cast("double")
+    blocks = F.ceil(F.col("__n") * 2 / F.lit(limit)).cast("double")
     spot = F.least(blocks - 1, F.floor(value * blocks / span))
-    drops = ["_n", *[f"{n}{end}" for n in names for end in ("lo", "hi")]]
+    drops = ["__n", *[f"{n}{end}" for n in names for end in ("lo", "hi")]]
     return (
         df.join(F.broadcast(hot), key, "left")
         .withColumn(name, F.coalesce(spot.cast("long"), F.lit(0).cast("long")))
-        .withColumn("_hot", F.col("_n").isNotNull())
+        .withColumn("__hot", F.col("__n").isNotNull())
         .drop(*drops)
     )
 
@@ -211,7 +211,7 @@ def _summary(fn: Fn, name: str, order: list[Column]) -> Column:
 
 
 def _carry(fn: Fn, name: str, key: list[str]) -> Column:
-    window = Window.partitionBy(*key).orderBy("_blk")
+    window = Window.partitionBy(*key).orderBy("__blk")
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     after = window.rowsBetween(1, Window.unboundedFollowing)
     if fn.kind == "lag":
@@ -230,11 +230,11 @@ def _carry(fn: Fn, name: str, key: list[str]) -> Column:
 
 
 def _combine(fn: Fn, name: str) -> Column:
-    local, carry = F.col(name), F.col(f"_c_{name}")
+    local, carry = F.col(name), F.col(f"__c_{name}")
     if fn.kind == "lag":
-        return F.when(F.col("_first") & carry.isNotNull(), carry["x"]).otherwise(local)
+        return F.when(F.col("__first") & carry.isNotNull(), carry["x"]).otherwise(local)
     if fn.kind == "lead":
-        return F.when(F.col("_last") & carry.isNotNull(), carry["x"]).otherwise(local)
+        return F.when(F.col("__last") & carry.isNotNull(), carry["x"]).otherwise(local)
     if fn.kind == "row_number":
         return (local + F.coalesce(carry, F.lit(0))).cast("int")
     if fn.kind.startswith("sum"):
@@ -266,24 +266,25 @@ def ordered(
         window = Window.partitionBy(*key).orderBy(*columns)
         return df.withColumns({n: _local(f, window) for n, f in outputs.items()})
 
-    split = with_blocks(df, key, [_col(c) for c in block_on or order[:1]], limit)
-    window = Window.partitionBy(*key, "_blk").orderBy(*columns)
+    # Rows and block summary both read the split rows: write them once.
+    split = cut_lineage(with_blocks(df, key, [_col(c) for c in block_on or order[:1]], limit))
+    window = Window.partitionBy(*key, "__blk").orderBy(*columns)
     summary = (
-        split.filter("_hot")
-        .groupBy(*key, "_blk")
-        .agg(*[_summary(f, f"_s_{n}", columns) for n, f in outputs.items()])
+        split.filter("__hot")
+        .groupBy(*key, "__blk")
+        .agg(*[_summary(f, f"__s_{n}", columns) for n, f in outputs.items()])
     )
     carried = summary.select(
-        *key, "_blk", *[_carry(f, f"_s_{n}", key).alias(f"_c_{n}") for n, f in outputs.items()]
+        *key, "__blk", *[_carry(f, f"__s_{n}", key).alias(f"__c_{n}") for n, f in outputs.items()]
     )
     rows = split.withColumns(
         {
             **{n: _local(f, window) for n, f in outputs.items()},
-            "_first": F.row_number().over(window) == 1,
-            "_last": F.lead(F.lit(1), 1).over(window).isNull(),
+            "__first": F.row_number().over(window) == 1,
+            "__last": F.lead(F.lit(1), 1).over(window).isNull(),
         }
     )
-    joined = rows.join(F.broadcast(carried), [*key, "_blk"], "left")
+    joined = rows.join(F.broadcast(carried), [*key, "__blk"], "left")
     done = joined.withColumns({n: _combine(f, n) for n, f in outputs.items()})
     return done.select(*df.columns, *outputs)
 
@@ -301,8 +302,9 @@ def with_group(
     if not has_hot_group(df, key, limit):
         window = Window.partitionBy(*key)
         return df.withColumns({n: a.over(window) for n, a in aggregates.items()})
-    totals = df.groupBy(*key).agg(*[a.alias(n) for n, a in aggregates.items()])
-    return df.join(totals, key, "left")
+    rows = cut_lineage(df)
+    totals = rows.groupBy(*key).agg(*[a.alias(n) for n, a in aggregates.items()])
+    return rows.join(totals, key, "left").select(*df.columns, *aggregates)
 
 
 def first_rows(
@@ -315,8 +317,8 @@ def first_rows(
     """
     key = [key] if isinstance(key, str) else list(key)
     window = Window.partitionBy(*key).orderBy(*[_col(c) for c in order])
-    ranked = df.withColumn("_rank", F.row_number().over(window))
-    return ranked.filter(F.col("_rank") <= count).drop("_rank")
+    ranked = df.withColumn("__rank", F.row_number().over(window))
+    return ranked.filter(F.col("__rank") <= count).drop("__rank")
 
 
 def all_of(conditions: list[Column]) -> Column:

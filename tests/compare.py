@@ -76,6 +76,8 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if "GROUP_ROWS" in os.environ:
+        spark.conf.set("spark.discframe.groupRows", os.environ["GROUP_ROWS"])
     con = oracle_connection(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = []
