@@ -67,7 +67,7 @@ def bcd_seconds(packed: Column) -> Column:
 
 
 def _milliseconds(ticks: Column) -> Column:
-    return F.bround(F.greatest(ticks, F.lit(0)) * 1000 / TICKS).cast("long")
+    return F.bround(F.greatest(ticks.cast("long"), F.lit(0)) * 1000 / TICKS).cast("long")
 
 
 def fmt_srt(ticks: Column, separator: str = ",") -> Column:

@@ -405,12 +405,12 @@ def envelope(
         "end_sector", F.coalesce("_end", "_unit_end", guess)
     )
     good = joined.filter(F.col("end_sector") > F.col("start_sector"))
-    end_byte = F.least((F.col("end_sector") + 1) * sector, total_bytes)
+    end_byte = F.least((F.col("end_sector").cast("long") + 1) * sector, total_bytes)
     return good.select(
         "chain_id",
         "start_sector",
         "end_sector",
-        (F.col("start_sector") * sector).alias("start_byte"),
+        (F.col("start_sector").cast("long") * sector).alias("start_byte"),
         end_byte.alias("end_byte"),
     ).filter(F.col("end_byte") > F.col("start_byte"))
 

@@ -353,12 +353,12 @@ def interleave(files: DataFrame, extent: str, size: str, unit: str, gap: str, se
 
     Without a unit the file is one run.
     """
-    chunk = F.col(unit) * sector
+    chunk = F.col(unit).cast("long") * sector
     runs = F.when(F.col(unit) > 0, F.ceil(F.col(size) / chunk)).otherwise(1).cast("long")
     spread = files.filter((F.col(unit) == 0) | (F.col(size) > 0)).withColumn(
         "run", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1))
     )
-    step = F.col("run") * (F.col(unit) + F.col(gap))
+    step = F.col("run") * (F.col(unit).cast("long") + F.col(gap))
     length = F.when(F.col(unit) > 0, F.least(chunk, F.col(size) - F.col("run") * chunk)).otherwise(F.col(size))
     return spread.withColumns({"offset": (F.col(extent) + step) * sector, "length": length})
 
@@ -369,7 +369,7 @@ def frame_times(groups: DataFrame, pts: str, leading: str, frames: Column, ticks
     *frames* is an array of frame numbers; groups without a time give 0.
     """
     spread = groups.withColumn("frame", F.explode(frames))
-    at = F.col(pts) - F.col(leading) * ticks + F.col("frame") * ticks
+    at = F.col(pts).cast("long") - F.col(leading).cast("long") * ticks + F.col("frame").cast("long") * ticks
     return spread.withColumn("frame_pts", F.when(F.col(pts) != 0, at).otherwise(0))
 
 
