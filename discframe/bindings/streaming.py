@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from discframe.bindings import tables as b
 from discframe.bindings.registry import query
 from discframe.operators import fragments as g
+from discframe.session import shared_folder
 from discframe.streaming import jobs
 
 
@@ -31,10 +31,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything a stream emits, through a parquet sink in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="discframe-stream-")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/discframe-streams/{uuid.uuid4().hex}"
     jobs.run_available(stream, folder, mode)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from discframe.operators import ordered as o
 from discframe.operators.aggregate import set_signature
+from discframe.session import cut_lineage
 
 
 def map_tracks(streams: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -231,12 +232,13 @@ def shared_items(df: DataFrame, group: str, ident: str, item: str, k: int = 3) -
 def representatives(df: DataFrame, group: str, ident: str, item: str) -> tuple[DataFrame, DataFrame]:
     """``(members, reps)``: every member with its representative, and one row per set."""
     signed = set_signature(df, [group, ident], item)
-    members = o.with_group(signed, [group, "n", "sig_a", "sig_b"], rep=F.min(ident))
+    members = cut_lineage(o.with_group(signed, [group, "n", "sig_a", "sig_b"], rep=F.min(ident)))
     reps = members.groupBy(group, "rep", "n").agg(F.count(F.lit(1)).alias("members"))
     return members.select(group, ident, "rep", "n"), reps
 
 
 def _similar_pairs(df: DataFrame, group: str, ident: str, item: str, k: int) -> tuple[DataFrame, DataFrame]:
+    df = cut_lineage(df.select(group, ident, item).distinct())
     members, reps = representatives(df, group, ident, item)
     big = reps.filter(F.col("n") >= k).select(group, F.col("rep").alias("_id"), "n", "members")
     sets = df.select(group, F.col(ident).alias("_id"), item).distinct().join(big, [group, "_id"])
@@ -245,13 +247,13 @@ def _similar_pairs(df: DataFrame, group: str, ident: str, item: str, k: int) ->
     ranked = o.ordered(useful, [group, "_id"], ["_freq", item], _rank=o.row_number())
     # Items nobody else has are first in the order and use up prefix places for free.
     alone = F.col("n") - F.col("_useful")
-    sized = o.with_group(ranked, [group, "_id"], _useful=F.count(F.lit(1)))
+    sized = cut_lineage(o.with_group(ranked, [group, "_id"], _useful=F.count(F.lit(1))))
     prefix = sized.filter(F.col("_rank") + alone <= F.col("n") - k + 1).select(group, "_id", item)
     left = prefix.select(group, item, F.col("_id").alias("a"))
     right = prefix.select(group, item, F.col("_id").alias("b"))
     candidates = left.join(right, [group, item]).filter(F.col("a") < F.col("b")).select(group, "a", "b").distinct()
-    items_a = useful.select(group, F.col("_id").alias("a"), item)
-    items_b = useful.select(group, F.col("_id").alias("b"), item)
+    items_a = sized.select(group, F.col("_id").alias("a"), item)
+    items_b = sized.select(group, F.col("_id").alias("b"), item)
     shared = (
         candidates.join(items_a, [group, "a"])
         .join(items_b, [group, "b", item])

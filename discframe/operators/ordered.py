@@ -90,23 +90,33 @@ def next_after(expr: str | Column) -> Fn:
     return Fn("next_after", _col(expr))
 
 
-def _leaves(df: DataFrame) -> frozenset[int]:
+# Sources of at most this many bytes per row of the limit fit a single task whole.
+_SMALL_BYTES = 32
+
+
+def _leaves(df: DataFrame) -> tuple[frozenset[int], int]:
+    """Identity and total size of the tables a plan reads."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return frozenset(leaves.apply(i).semanticHash() for i in range(leaves.size()))
+    every = [leaves.apply(i) for i in range(leaves.size())]
+    size = sum(int(str(leaf.stats().sizeInBytes())) for leaf in every)
+    return frozenset(leaf.semanticHash() for leaf in every), size
 
 
 def has_hot_group(df: DataFrame, key: list[str], limit: int) -> bool:
     """Whether a group has more than *limit* rows (one key-only partial aggregate).
 
     The first key column is asked first: when its groups are small, so are all finer
-    ones.  Answers are remembered per source tables and key, so a chain of operators
-    over the same tables asks once; the answer only chooses between two plans with
-    equal results.
+    ones.  Tables small enough for one task are not asked at all.  Answers are remembered
+    per source tables and key, so a chain of operators over the same tables asks once;
+    the answer only chooses between two plans with equal results.
     """
     if len(key) > 1 and not has_hot_group(df, key[:1], limit):
         return False
     keys = df.select(*key)
-    tag = (df.sparkSession.sparkContext.applicationId, _leaves(keys), tuple(key), limit)
+    tables, size = _leaves(keys)
+    if size <= limit * _SMALL_BYTES:
+        return False
+    tag = (df.sparkSession.sparkContext.applicationId, tables, tuple(key), limit)
     if tag not in _memo:
         size = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
         _memo[tag] = not size.filter(F.col("__n") > limit).isEmpty()

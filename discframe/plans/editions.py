@@ -267,8 +267,8 @@ def tile_sequences(items: DataFrame, group: str, ident: str, item: str) -> DataF
     distinct = signed.groupBy(group, "n", "sig_a", "sig_b").agg(F.min(ident).alias("_id")).select(
         group, F.col("_id"), F.col("n").cast("int").alias("n")
     )
-    rows = items.select(group, F.col(ident).alias("_id"), "pos", F.col(item).alias("_item")).join(
-        distinct, [group, "_id"]
+    rows = cut_lineage(
+        items.select(group, F.col(ident).alias("_id"), "pos", F.col(item).alias("_item")).join(distinct, [group, "_id"])
     )
     code = F.pmod(F.xxhash64(F.col("_item").cast("string")), F.lit(1 << 31)).cast("decimal(38,0)")
     coded = rows.withColumns({"_h": code, "_ph": code * F.col("pos").cast("decimal(10,0)")})
@@ -280,7 +280,8 @@ def tile_sequences(items: DataFrame, group: str, ident: str, item: str) -> DataF
             total.select(*unit, "n", F.col("n").alias("at"), F.col("_s").cast("decimal(38,0)"), F.col("_t").cast("decimal(38,0)"))
         )
     )
-    lengths = distinct.select(group, F.col("n").alias("len")).distinct()
+    prefix = cut_lineage(prefix)
+    lengths = rows.select(group, F.col("n").alias("len")).distinct()
     starts = prefix.join(lengths, group).filter(
         (F.col("len") < F.col("n")) & (F.col("at") + F.col("len") <= F.col("n"))
     )
@@ -291,7 +292,7 @@ def tile_sequences(items: DataFrame, group: str, ident: str, item: str) -> DataF
         .withColumn("_ws", F.col("_s2") - F.col("_s"))
         .withColumn("_wt", F.col("_t2") - F.col("_t") - F.col("at").cast("decimal(10,0)") * F.col("_ws"))
     )
-    parts = total.select(
+    parts = prefix.filter(F.col("at") == F.col("n")).select(
         group, F.col("_id").alias("part"), F.col("n").alias("len"), F.col("_s").alias("_ps"), F.col("_t").alias("_pt")
     )
     same = (F.col("_ws") == F.col("_ps")) & (F.col("_wt") == F.col("_pt"))

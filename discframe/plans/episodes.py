@@ -462,6 +462,7 @@ def alternate_chains(chains: DataFrame, cells: DataFrame, defaults: DataFrame, g
     ``is_edition``: at least half of the default's runtime comes from cells the chain
     also plays.
     """
+    cells, defaults = cut_lineage(cells), cut_lineage(defaults.select(group, "pgc"))
     others = chains.filter((F.col("duration") >= minimum) & (F.col("n_cells") >= 1)).join(
         defaults.select(group, "pgc"), [group, "pgc"], "left_anti"
     )

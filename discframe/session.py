@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,18 +42,38 @@ def group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS_DEFAULT)))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared scratch folder, as ``spark.checkpoint.dir`` names it.
+
+    A private folder is made only for a single-machine session where nothing is set.
+    """
+    context = spark.sparkContext
+    folder = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir", None)
+        or context.getCheckpointDir()
+    )
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    global _private_folder
+    if _private_folder is None:
+        _private_folder = tempfile.mkdtemp(prefix="discframe-")
+    return _private_folder
+
+
+_private_folder: str | None = None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+    """*df* written once as a table in the shared folder and read back.
 
-    The folder is the one ``spark.checkpoint.dir`` names; a private folder is made
-    only for a single-machine session where nothing is set.
+    Later steps start from files any executor can read, so a lost executor costs a
+    re-read and not the whole lineage; columnar files also keep sizes known to the
+    planner and let later steps prune columns.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="discframe-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/discframe-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
