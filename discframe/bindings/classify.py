@@ -94,7 +94,6 @@ def _(spark, sf_dir):
                 "name": F.lit(""),
             }
         )
-        .withColumn("chain_pgc", F.col("title_idx"))
     )
     discs = b.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("disc_id"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -419,7 +418,3 @@ def rebaseline(ticks: DataFrame, key: str = "stream_id", order: str = "seq") ->
     """Ticks relative to the first sample of their stream."""
     based = o.with_group(ticks, key, _base=F.min_by("pts", order))
     return based.withColumn("rel", F.col("pts") - F.col("_base")).drop("_base")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -18,7 +18,6 @@ twice that, which is what makes broadcasting them safe.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -329,7 +328,3 @@ def first_rows(
     window = Window.partitionBy(*key).orderBy(*[_col(c) for c in order])
     ranked = df.withColumn("__rank", F.row_number().over(window))
     return ranked.filter(F.col("__rank") <= count).drop("__rank")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
