@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discframe.llm import mixing, pii, sharding, tokens
+from discframe.llm import mixing, pii, quality, sharding, tokens
 from discframe.llm.common import read
 from discframe.session import configure
 
@@ -50,6 +50,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 SHARD_SQL = f"""
 WITH RECURSIVE rows AS (
   SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS bits,
