@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discframe.llm import mixing, ngram_join, pii, quality, sharding, tokens, toxicity, winnow
+from discframe.llm import mixing, ngram_join, pages, pii, quality, sharding, tokens, toxicity, winnow
 from discframe.llm.common import read
 from discframe.session import configure
 
@@ -35,6 +35,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.with_component(ngram_join.linked(read(spark, sf_dir, "documents")), "doc_id")
 
 
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(read(spark, sf_dir, "pages"))
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.token_counts(
