@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discframe.llm import mixing, ngram_join, pages, pii, quality, sharding, tokens, toxicity, winnow
+from discframe.llm import cotraining, mixing, ngram_join, pages, pii, quality, sharding, tokens, toxicity, winnow
 from discframe.llm.common import read
 from discframe.session import configure
 
@@ -48,6 +48,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op5_pii")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(read(spark, sf_dir, "documents"))
