@@ -1,12 +1,52 @@
-"""A corpus pipeline: STAGES, each one written as Parquet and read again by the next."""
+"""A corpus pipeline: STAGES, each one written as Parquet and read again by the next.
+
+Quality rules reject documents, of near duplicates one stays, documents that hold passages
+of the benchmark go, sources are mixed to their weights (a document stands there as often as
+the mix takes it), and what is left is dealt to shards of bounded size.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from discframe.llm import mixing, ngram_join, quality, sharding, winnow
 from discframe.llm.common import cut_lineage, read
+from discframe.llm.queries import SHARD_BYTES
+from discframe.session import configure
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality.judge(docs, carry=docs.columns)
+    return judged.filter("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_per_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = winnow.decontaminate(docs, read(spark, sf_dir, "benchmark"), carry=docs.columns)
+    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(docs, carry=docs.columns)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return mixed.filter(F.col("copies") > 0).select(*docs.columns, times.alias("__copy")).drop("__copy")
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs, limit=SHARD_BYTES, carry=docs.columns)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mix_sources),
+    ("sharding", shards),
+]
 
 #: Mixing is a subset-sum choice by seeded hashes, which SQL does not express.
 ORACLE_SQL = None
@@ -14,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents; every stage's result is written and reread."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read(configure(spark), sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,7 +14,7 @@ from discframe.plans.classify import Thresholds, classify_catalog
 LIMITS = Thresholds(listed=1200, plain=3000, short=900, empty_bytes=4_000_000, minimum=600, films=5, jumps=2)
 _NOTABLE = b.NOTABLE_SQL.format(minimum=1200, plain=3000)
 
-_TITLES = b.TITLES.replace("CAST(floor(o_totalprice / 50) AS DOUBLE) AS duration", "CAST(floor(o_totalprice / 25000) * 500 AS DOUBLE) AS duration")
+_TITLES = b.TITLES.replace("o_totalprice / 50 AS duration", "CAST(floor(o_totalprice / 25000) * 500 AS DOUBLE) AS duration")
 _BASE = ",\n".join([b.ITEMS4, b._STREAMS, _TITLES])
 
 CLASSIFY_SQL = f"""WITH {_BASE}, {b.facts_sql(0.9)},

@@ -58,14 +58,13 @@ def _(spark, sf_dir):
 
 
 def editions(spark, sf_dir):
-    """The first three titles of every disc as its editions."""
-    rows = disc_items(spark, sf_dir).filter(F.col("title_idx") < 3)
-    return rows.select(
+    """The titles of every disc as its editions."""
+    return disc_items(spark, sf_dir).select(
         F.col("disc_id").alias("group_id"), F.col("title_idx").alias("edition"), "title_id", "pos", "clip_id", "duration", "size"
     )
 
 
-_EDITIONS = """en AS (SELECT disc_id AS group_id, title_idx AS edition, title_id, pos, clip_id, duration, size FROM di WHERE title_idx < 3{extra})"""
+_EDITIONS = """en AS (SELECT disc_id AS group_id, title_idx AS edition, title_id, pos, clip_id, duration, size FROM di{extra})"""
 _UNION = f"""fu AS (SELECT group_id, clip_id, arg_min(duration, edition * 1000000 + pos) AS d, min(edition * 1000000 + pos) AS o FROM en GROUP BY 1, 2),
 un AS (SELECT group_id, clip_id, d AS clip_duration, coalesce(sum(d) OVER (PARTITION BY group_id ORDER BY o {_PRE}), 0) AS clip_start FROM fu)"""
 _ATOMS = f"""pl AS (SELECT en.group_id, edition, pos, clip_start, clip_duration,
@@ -100,7 +99,7 @@ def _(spark, sf_dir):
     return e.edition_atoms(rows, e.union_timeline(rows), _marks(rows).select("group_id", "edition", "t"))
 
 
-_JUDGE_AT = """tt AS (SELECT disc_id AS group_id, title_idx AS edition, title_id, duration, status = 'P' AS kind FROM titles WHERE title_idx < 3),
+_JUDGE_AT = """tt AS (SELECT disc_id AS group_id, title_idx AS edition, title_id, duration, status = 'P' AS kind FROM titles),
 jd AS (SELECT x.group_id, x.edition, x.title_id, CASE WHEN x.kind <> f.kind THEN 'other_kind'
   WHEN (SELECT count(DISTINCT a.clip_id) FROM items a JOIN items z ON z.clip_id = a.clip_id AND z.title_id = f.title_id WHERE a.title_id = x.title_id) < {k} THEN 'few_shared_clips'
   WHEN abs(x.duration - f.duration) > {within} * greatest(x.duration, f.duration) THEN 'other_length' END AS reason
@@ -110,7 +109,7 @@ _JUDGE_LOOSE = _JUDGE_AT.format(k=1, within=0.9)
 
 
 def _edition_titles(spark, sf_dir):
-    titles = b.titles(spark, sf_dir).filter(F.col("title_idx") < 3)
+    titles = b.titles(spark, sf_dir)
     return titles.select(
         F.col("disc_id").alias("group_id"),
         F.col("title_idx").alias("edition"),
@@ -126,7 +125,7 @@ def _(spark, sf_dir):
 
 
 @query("c3_combine_editions", f"""WITH {b.ITEMS}, {b.TITLES}, {_DI}, {_JUDGE_LOOSE},
-{_EDITIONS.format(extra=" AND disc_id NOT IN (SELECT group_id FROM jd WHERE reason IS NOT NULL)")},
+{_EDITIONS.format(extra=" WHERE disc_id NOT IN (SELECT group_id FROM jd WHERE reason IS NOT NULL)")},
 {_UNION}, {_MARKS}, {_ATOMS}
 SELECT *, edition = 0 AS is_default FROM atoms""")
 def _(spark, sf_dir):

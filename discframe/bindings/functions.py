@@ -55,12 +55,11 @@ def _(spark, sf_dir):
     return releases(spark, sf_dir).select("id", "name", x.clean_release_name(F.col("name")).alias("clean"))
 
 
-@query("f1_clean_first_lines", "WITH " + _clean_sql("SELECT doc_id AS id, split_part(text, chr(10), 1) AS name FROM documents WHERE regexp_matches(split_part(text, chr(10), 1), '^[ -~]*$')"))
+@query("f1_clean_first_lines", "WITH " + _clean_sql("SELECT doc_id AS id, split_part(text, chr(10), 1) AS name FROM documents"))
 def _(spark, sf_dir):
     first = F.substring_index("text", "\n", 1).alias("name")
     docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), first)
-    plain = docs.filter(F.col("name").rlike("^[ -~]*$"))
-    return plain.select("id", "name", x.clean_release_name(F.col("name")).alias("clean"))
+    return docs.select("id", "name", x.clean_release_name(F.col("name")).alias("clean"))
 
 
 _SCENE = x.SCENE_WORDS.removeprefix("(?i)")

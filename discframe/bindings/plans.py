@@ -116,12 +116,12 @@ def _(spark, sf_dir):
     return ep.footage_pairs(seconds, "set_id", "pgc")
 
 
-@query("c7_episode_parts", f"""WITH {b.TITLES}, m AS (SELECT disc_id, title_idx AS pgc, CASE WHEN title_idx % 2 = disc_id % 2 THEN 1200 ELSE 300 END + title_id % 7 AS d FROM titles WHERE title_idx < 4 + disc_id % 5),
+@query("c7_episode_parts", f"""WITH {b.TITLES}, m AS (SELECT disc_id, title_idx AS pgc, CASE WHEN title_idx % 2 = disc_id % 2 THEN 1200 ELSE 300 END + title_id % 7 AS d FROM titles),
 k AS (SELECT *, CASE WHEN d > 1000 THEN 'l' ELSE 's' END AS fam, row_number() OVER (PARTITION BY disc_id ORDER BY pgc) AS rn FROM m),
 g AS (SELECT disc_id FROM k GROUP BY 1 HAVING count(*) FILTER (WHERE fam = 'l') = count(*) FILTER (WHERE fam = 's') AND count(*) >= 4)
 SELECT disc_id, pgc, CAST((rn + 1) // 2 AS INTEGER) AS episode, CASE WHEN rn % 2 = 1 THEN 'a' ELSE 'b' END AS part FROM k WHERE disc_id IN (SELECT disc_id FROM g)""")
 def _(spark, sf_dir):
-    rows = b.titles(spark, sf_dir).filter(F.col("title_idx") < 4 + F.col("disc_id") % 5)
+    rows = b.titles(spark, sf_dir)
     length = F.when(F.col("title_idx") % 2 == F.col("disc_id") % 2, 1200).otherwise(300) + F.col("title_id") % 7
     members = rows.select("disc_id", F.col("title_idx").alias("pgc"), length.alias("duration"))
     return ep.episode_parts(members, "disc_id")

@@ -18,14 +18,13 @@ def _facts(spark, sf_dir):
 
 @query("s1_catalog_rows", """
 SELECT o_orderpriority AS priority, count(*) AS n_titles, count(DISTINCT o_custkey) AS n_discs
-FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
+FROM orders GROUP BY 1""")
 def _(spark, sf_dir):
     from discframe.sources.catalog import load_catalog
 
     catalog = load_catalog(spark, sf_dir, {"orders": {"o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"}})
     return (
         catalog["orders"]
-        .filter(F.col("o_orderstatus") == "F")
         .groupBy(F.col("o_orderpriority").alias("priority"))
         .agg(F.count(F.lit(1)).alias("n_titles"), F.count_distinct("o_custkey").alias("n_discs"))
     )

@@ -298,31 +298,32 @@ def _(spark, sf_dir):
 
 
 @query("u3_shared_items", f"""WITH {b.ITEMS}, {b.TITLES}, {_DI},
-a AS (SELECT DISTINCT disc_id, clip_id FROM di WHERE title_idx = 0), z AS (SELECT DISTINCT disc_id, clip_id FROM di WHERE title_idx = 1)
-SELECT disc_id, count(*) AS n_shared FROM (SELECT * FROM a INTERSECT SELECT * FROM z) GROUP BY 1""")
+a AS (SELECT DISTINCT disc_id, title_idx, clip_id FROM di), z AS (SELECT DISTINCT disc_id, title_idx - 1 AS title_idx, clip_id FROM di)
+SELECT disc_id, title_idx, count(*) AS n_shared FROM (SELECT * FROM a INTERSECT SELECT * FROM z) GROUP BY 1, 2""")
 def _(spark, sf_dir):
     rows = disc_items(spark, sf_dir)
-    first = rows.filter(F.col("title_idx") == 0).select("disc_id", "clip_id")
-    second = rows.filter(F.col("title_idx") == 1).select("disc_id", "clip_id")
-    return first.intersect(second).groupBy("disc_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    # Every title against the one after it.
+    first = rows.select("disc_id", "title_idx", "clip_id")
+    second = rows.select("disc_id", (F.col("title_idx") - 1).alias("title_idx"), "clip_id")
+    return first.intersect(second).groupBy("disc_id", "title_idx").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 @query("u5_all_disjoint", f"""WITH {b.ITEMS}, {b.TITLES}, {_DI},
-p AS (SELECT disc_id, clip_id, count(DISTINCT title_id) AS n FROM di WHERE title_idx < 3 GROUP BY 1, 2)
+p AS (SELECT disc_id, clip_id, count(DISTINCT title_id) AS n FROM di GROUP BY 1, 2)
 SELECT disc_id, max(n) = 1 AS disjoint, CAST(sum(n) AS BIGINT) AS n_items FROM p GROUP BY 1""")
 def _(spark, sf_dir):
-    rows = disc_items(spark, sf_dir).filter(F.col("title_idx") < 3)
+    rows = disc_items(spark, sf_dir)
     return s.all_disjoint(rows, "disc_id", "title_id", "clip_id")
 
 
 @query("u6_covers", f"""WITH {b.ITEMS4}, {b.TITLES}, {_DI},
-h AS (SELECT DISTINCT disc_id, clip_id FROM di WHERE title_idx = 0), w AS (SELECT DISTINCT disc_id, clip_id FROM di WHERE title_idx IN (1, 2))
+h AS (SELECT DISTINCT disc_id, clip_id FROM di WHERE title_idx = 0), w AS (SELECT DISTINCT disc_id, clip_id FROM di WHERE title_idx > 0)
 SELECT disc_id, bool_and(w.clip_id IS NOT NULL) AS subset, bool_and(w.clip_id IS NOT NULL AND h.clip_id IS NOT NULL) AS equal
 FROM (SELECT coalesce(h.disc_id, w.disc_id) AS disc_id, h.clip_id AS hc, w.clip_id AS wc FROM h FULL JOIN w ON h.disc_id = w.disc_id AND h.clip_id = w.clip_id) q
 JOIN (SELECT 1) ON true LEFT JOIN LATERAL (SELECT q.wc AS clip_id) w ON true LEFT JOIN LATERAL (SELECT q.hc AS clip_id) h ON true GROUP BY 1""")
 def _(spark, sf_dir):
     rows = disc_items(spark, sf_dir, 4)
-    return s.covers(rows.filter(F.col("title_idx") == 0), rows.filter(F.col("title_idx").isin(1, 2)), "disc_id", "clip_id")
+    return s.covers(rows.filter(F.col("title_idx") == 0), rows.filter(F.col("title_idx") > 0), "disc_id", "clip_id")
 
 
 @query("u7_extras", f"""WITH {b.TITLES}, m AS (SELECT *, row_number() OVER (PARTITION BY disc_id ORDER BY duration, title_idx) <= 3 AS member FROM titles)

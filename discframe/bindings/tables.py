@@ -81,7 +81,7 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("disc_id"),
         F.col("o_orderkey").alias("title_id"),
         (F.col("_rn") - 1).alias("title_idx"),
-        F.floor(F.col("o_totalprice") / 50).cast("double").alias("duration"),
+        (F.col("o_totalprice") / 50).alias("duration"),
         F.col("o_orderstatus").alias("status"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"),
     )
@@ -142,7 +142,7 @@ STREAMS = LINES + ",\n" + _STREAMS
 TITLES = """titles AS (
   SELECT o_custkey AS disc_id, o_orderkey AS title_id,
     CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS title_idx,
-    CAST(floor(o_totalprice / 50) AS DOUBLE) AS duration, o_orderstatus AS status,
+    o_totalprice / 50 AS duration, o_orderstatus AS status,
     CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority
   FROM orders)"""
 

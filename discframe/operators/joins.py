@@ -266,22 +266,32 @@ def _similar_pairs(df: DataFrame, group: str, ident: str, item: str, k: int) ->
     return shared.join(count_a, [group, "a"]).join(count_b, [group, "b"]), reps
 
 
+MICROS = 1_000_000
+
+
+def micros(value: str | Column) -> Column:
+    """A number of seconds as whole millionths, in which comparisons are exact."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value * MICROS).cast("long")
+
+
 def near_ranges(df: DataFrame, group: str, value: str, share: tuple[int, int] = (15, 100), unit: int = 1) -> DataFrame:
     """Neighbourhood of every distinct value: rows within a relative tolerance.
 
     Two values are near when ``|a - b| / max(a, b, unit) <= share`` (share as a
-    fraction, values whole numbers, so the test is exact).  Instead of listing pairs,
-    each distinct value gets the range it covers: ``near`` = number of rows in it, and
+    fraction).  Values are taken in whole millionths (``v``, ``lo`` and ``hi`` are), so
+    the test is exact for fractions too.  Instead of listing pairs, each distinct value gets the range it covers: ``near`` = number of rows in it, and
     ``rank_lo``/``rank_hi`` = rows of the group below it and up to its end, which
     identify the neighbourhood.  One running count over values and range ends answers
     all of them.
     """
     num, den = share
-    counted = df.groupBy(group, F.col(value).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    unit *= MICROS
+    counted = df.groupBy(group, micros(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     v = F.col("v")
-    low = -F.floor(-(v * den - F.greatest(v, F.lit(unit)) * num) / den)
-    far = F.floor(v * den / (den - num))
-    close = F.least(v + F.floor(F.lit(unit * num) / den), F.lit(unit))
+    low = v - F.expr(f"greatest(v, {unit}) * {num} div {den}")
+    far = F.expr(f"v * {den} div {den - num}")
+    close = F.least(v + F.lit(unit * num // den), F.lit(unit))
     high = F.when(far >= unit, far).otherwise(F.greatest(v, close))
     ranged = counted.select(group, "v", "n", low.cast("long").alias("lo"), high.cast("long").alias("hi"))
     # At equal positions: range starts before values, range ends after them.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from discframe.operators import ordered as o
 from discframe.operators.aggregate import layout_signature, shared_fraction
-from discframe.operators.joins import near_ranges
+from discframe.operators.joins import micros, near_ranges
 from discframe.plans.editions import tile_sequences
 from discframe.session import cut_lineage
 
@@ -26,7 +26,7 @@ def duration_clusters(rows: DataFrame, group: str, value: str, order: str) -> Da
     *order* among the rows at its centres.
     """
     ranges = near_ranges(rows, group, value, TOLERANCE)
-    first = rows.groupBy(group, F.col(value).cast("long").alias("v")).agg(F.min(order).alias("_first"))
+    first = rows.groupBy(group, micros(value).alias("v")).agg(F.min(order).alias("_first"))
     return (
         ranges.join(first, [group, "v"])
         .groupBy(group, "rank_lo", "rank_hi")
@@ -37,7 +37,7 @@ def duration_clusters(rows: DataFrame, group: str, value: str, order: str) -> Da
 
 def ranked(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     """Rows with their 0-based rank by value inside the group."""
-    placed = rows.withColumn("_v", F.col(value).cast("long"))
+    placed = rows.withColumn("_v", micros(value))
     numbered = o.ordered(placed, group, ["_v", order], _rn=o.row_number())
     return numbered.withColumn("rank", (F.col("_rn") - 1).cast("long")).drop("_rn", "_v")
 
@@ -67,7 +67,7 @@ def _without_clash(clusters: DataFrame, worst: DataFrame, group: str) -> DataFra
 def label_playlist_episodes(titles: DataFrame, items: DataFrame) -> DataFrame:
     """Episode numbers and play-alls of discs with one playlist per episode.
 
-    Titles: ``disc_id, title_id, title_idx, duration`` (whole seconds), ``playlist_no,
+    Titles: ``disc_id, title_id, title_idx, duration`` (seconds), ``playlist_no,
     candidate`` (listed, not looped, long enough, nothing labelled yet), ``content``
     (listed and not looped) and ``layout``.  Result: ``disc_id, title_id, episode,
     play_all`` for labelled titles only.
@@ -192,7 +192,7 @@ def footage_pairs(cells: DataFrame, group: str, ident: str, share: float = SHARE
 def label_chain_episodes(chains: DataFrame, cells: DataFrame, group: str = "set_id", minimum: int = MIN_DURATION) -> DataFrame:
     """Episode chains and the play-all of each title set: ``group, pgc, role``.
 
-    Chains: ``group, pgc, duration`` (whole seconds), ``n_cells, angle``; cells: ``group,
+    Chains: ``group, pgc, duration`` (seconds), ``n_cells, angle``; cells: ``group,
     pgc, pos, cell, seconds``.  Clusters are tried largest first, then shorter centre;
     the first one whose chains play distinct cells, do not re-cut each other and are
     not dwarfed is the episode set.  Sibling clusters of the same compilation join it.
@@ -394,8 +394,8 @@ def episode_parts(members: DataFrame, group: str, order: str = "pgc", value: str
 def label_cross_set(titles: DataFrame, candidate: Column, minimum: int = MIN_DURATION, least: int = 3) -> DataFrame:
     """Episodes of discs with one title set per episode: ``disc_id, title_id, episode``.
 
-    Titles: ``disc_id, title_id, title_idx, number`` (logical title), ``duration`` (whole
-    seconds), ``play_all``.  The first largest cluster of candidates with at least
+    Titles: ``disc_id, title_id, title_idx, number`` (logical title), ``duration``
+    (seconds), ``play_all``.  The first largest cluster of candidates with at least
     *least* members, unless another title dwarfs it; numbered by logical title.
     """
     long_enough = F.col("duration") >= minimum
@@ -406,7 +406,7 @@ def label_cross_set(titles: DataFrame, candidate: Column, minimum: int = MIN_DUR
         .select("disc_id", "number", "_t.*")
     )
     ranges = near_ranges(first, "disc_id", "duration", TOLERANCE)
-    centres = first.withColumn("v", F.col("duration").cast("long")).join(ranges, ["disc_id", "v"])
+    centres = first.withColumn("v", micros("duration")).join(ranges, ["disc_id", "v"])
     best = (
         centres.groupBy("disc_id")
         .agg(F.min_by(F.struct("near", "lo", "hi"), F.struct(-F.col("near"), "title_idx")).alias("_b"))
@@ -414,7 +414,7 @@ def label_cross_set(titles: DataFrame, candidate: Column, minimum: int = MIN_DUR
         .filter(F.col("near") >= least)
     )
     group = first.join(best.select("disc_id", "lo", "hi"), "disc_id").filter(
-        F.col("duration").between(F.col("lo"), F.col("hi"))
+        micros("duration").between(F.col("lo"), F.col("hi"))
     )
     longest = group.groupBy("disc_id").agg(F.max("duration").alias("_longest"))
     rivals = (
