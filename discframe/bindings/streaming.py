@@ -14,11 +14,15 @@ from discframe.session import shared_folder
 from discframe.streaming import jobs
 
 
+#: Files of the events arrive in any order, so rows may be late by the whole span of the table.
+DELAY = "4000 days"
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = b.table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream of several files, one per batch, and an end to it."""
+    events = b.table(spark, sf_dir, "events")
     stamp = F.col("ts").cast("timestamp")
-    return raw.select(
+    rows = events.select(
         F.col("user_id").alias("stream_id"),
         stamp.alias("ts"),
         F.unix_micros(stamp).alias("ts_us"),
@@ -26,7 +30,13 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("value") * 100).cast("long").alias("pts"),
         F.col("event_type").alias("kind"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
+        F.lit(False).alias("end"),
     )
+    folder = f"{shared_folder(spark)}/discframe-streams/{uuid.uuid4().hex}"
+    rows.repartition(3, "event_id").write.parquet(folder)
+    ends = jobs.closing_rows(rows, "stream_id", "ts", DELAY)
+    ends.select(*rows.columns).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -45,7 +55,7 @@ f AS (SELECT stream_id, event_id, seq, pts, CAST(0 AS BIGINT) AS off, pts AS lat
   FROM f JOIN ticks t ON t.stream_id = f.stream_id AND t.seq = f.seq + 1)
 SELECT stream_id, event_id, pts, effective FROM f""")
 def _(spark, sf_dir):
-    return _run(spark, jobs.rebase_stream(event_stream(spark, sf_dir), 10_000))
+    return _run(spark, jobs.rebase_stream(event_stream(spark, sf_dir), 10_000, DELAY))
 
 
 def _chunks(df: DataFrame) -> DataFrame:
@@ -71,20 +81,29 @@ def _(spark, sf_dir):
     return done.withColumn("data", F.decode("data", "UTF-8"))
 
 
-@query("x2_assemble_stream")
+@query("x2_assemble_stream", f"""WITH RECURSIVE {b.TICKS},
+fr AS (SELECT stream_id, seq, CASE WHEN k % 3 = 0 THEN pts ELSE 0 END AS p, kind AS c, lead(seq) OVER (PARTITION BY stream_id ORDER BY seq) IS NULL AS fin FROM ticks),
+f AS (SELECT stream_id, seq, p AS opened, c AS data, fin, CAST(NULL AS BIGINT) AS ep, CAST(NULL AS VARCHAR) AS ed FROM fr WHERE seq = 0
+  UNION ALL
+  SELECT r.stream_id, r.seq, CASE WHEN r.p <> 0 AND r.p <> f.opened THEN r.p WHEN f.opened = 0 THEN r.p ELSE f.opened END,
+   CASE WHEN r.p <> 0 AND r.p <> f.opened THEN r.c ELSE f.data || r.c END, r.fin,
+   CASE WHEN r.p <> 0 AND r.p <> f.opened THEN f.opened END, CASE WHEN r.p <> 0 AND r.p <> f.opened THEN f.data END
+  FROM f JOIN fr r ON r.stream_id = f.stream_id AND r.seq = f.seq + 1)
+SELECT stream_id, ep AS pts, hex(ed) AS data FROM f WHERE ed IS NOT NULL
+UNION ALL SELECT stream_id, opened, hex(data) FROM f WHERE fin""")
 def _(spark, sf_dir):
     rows = _chunks(event_stream(spark, sf_dir)).select(
-        "stream_id", "ts", F.col("ts_us").alias("seq"), F.col("time").alias("pts"), F.hex("chunk").alias("hex")
+        "stream_id", "ts", F.col("ts_us").alias("seq"), "event_id", F.col("time").alias("pts"), F.hex("chunk").alias("hex"), "end"
     )
-    return _run(spark, jobs.assemble_stream(rows))
+    return _run(spark, jobs.assemble_stream(rows, DELAY, order=("seq", "event_id"))).drop("seq")
 
 
 @query("x3_cues_stream", f"""WITH {b.TICKS}, c AS (SELECT *, lag(kind) OVER w AS prev, row_number() OVER w AS rn FROM ticks WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
-d AS (SELECT *, lead(pts) OVER w AS nx, lead(event_id) OVER w AS ne FROM c WHERE rn = 1 OR kind IS DISTINCT FROM prev WINDOW w AS (PARTITION BY stream_id ORDER BY seq))
-SELECT stream_id, ne AS event_id, pts AS start, nx AS "end", kind AS text FROM d WHERE kind <> 'error' AND nx IS NOT NULL""")
+d AS (SELECT *, lead(pts) OVER w AS nx FROM c WHERE rn = 1 OR kind IS DISTINCT FROM prev WINDOW w AS (PARTITION BY stream_id ORDER BY seq))
+SELECT stream_id, pts AS start, coalesce(nx, pts + 450000) AS "end", kind AS text FROM d WHERE kind <> 'error'""")
 def _(spark, sf_dir):
     rows = event_stream(spark, sf_dir).withColumns({"text": F.col("kind"), "shown": F.col("kind") != "error"})
-    return _run(spark, jobs.cues_stream(rows))
+    return _run(spark, jobs.cues_stream(rows, DELAY)).drop("event_id")
 
 
 @query("x7_progress", """SELECT user_id AS stream_id, time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_failed,
@@ -100,15 +119,23 @@ def _(spark, sf_dir):
     return jobs.progress(rows, "1 day", "k")
 
 
-@query("x7_progress_stream")
+@query("x7_progress_stream", """SELECT user_id AS stream_id, time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_failed,
+  arg_max(least(CAST(json_extract(props, '$.k') AS BIGINT), 100), struct_pack(t := ts, e := event_id)) AS percent FROM events GROUP BY 1, 2""")
 def _(spark, sf_dir):
     rows = event_stream(spark, sf_dir).withColumn("failed", F.col("kind") == "error")
-    return _run(spark, jobs.progress(rows, "1 hour", "k"))
+    return _run(spark, jobs.progress(_without_marks(rows), "1 hour", "k", DELAY))
 
 
-@query("x6_stalled")
+@query("x6_stalled", """WITH e AS (SELECT user_id AS stream_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
+SELECT stream_id, max(ts) AS last_seen, count(*) AS n, max(ts) + INTERVAL 2 HOUR AS stalled_at FROM s GROUP BY stream_id, no""")
 def _(spark, sf_dir):
-    return _run(spark, jobs.stalled(event_stream(spark, sf_dir), "2 hours"))
+    return _run(spark, jobs.stalled(_without_marks(event_stream(spark, sf_dir)), "2 hours", DELAY))
+
+
+def _without_marks(rows: DataFrame) -> DataFrame:
+    """The events and the row that moves the watermark, whose own window never closes."""
+    return rows.filter(F.coalesce(~F.col("end"), F.lit(True)))
 
 
 @query("x4_scan_vote_stream", f"""WITH {b.TICKS}, f AS (SELECT stream_id, kind <> 'signup' AS interlaced,
@@ -118,7 +145,7 @@ c AS (SELECT stream_id, count(*) AS n, count(*) FILTER (WHERE interlaced) AS n_i
 SELECT stream_id, n, n_interlaced, CASE WHEN n < 24 THEN NULL WHEN n_interlaced = 0 THEN 'progressive'
   WHEN n_interlaced < 0.7 * n THEN NULL WHEN t > 0 AND b = 0 THEN 'tff' WHEN b > 0 AND t = 0 THEN 'bff' END AS scan FROM c""")
 def _(spark, sf_dir):
-    frames = event_stream(spark, sf_dir).select(
+    frames = event_stream(spark, sf_dir).filter(~F.col("end")).select(
         "stream_id",
         (F.col("kind") != "signup").alias("interlaced"),
         F.when(F.col("k") % 3 != 0, (F.col("stream_id") % 2 == 0) | (F.col("k") == 1)).alias("top_field_first"),
@@ -138,5 +165,6 @@ def _(spark, sf_dir):
         F.lit(2880).cast("long").alias("frame"),
         frames.alias("pts"),
         F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: i.cast("long")).alias("offsets"),
+        "end",
     )
-    return _run(spark, jobs.drift_stream(tails))
+    return _run(spark, jobs.drift_stream(tails, delay=DELAY))

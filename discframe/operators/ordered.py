@@ -4,7 +4,7 @@ A plain ``Window.partitionBy(key)`` sends a whole key to one task.  ``ordered``
 keeps that plan while every group is small (one shuffle, nothing else) and changes
 to a two-level plan when a group exceeds the limit:
 
-1. hot keys and the range of their order column come from one partial aggregate;
+1. rows are counted; hot keys and the range of their order column come from one partial aggregate;
 2. rows of a hot key get a block number by an equal-width split of that range, so
    blocks follow the order and the split is a pure function of the data;
 3. windows run inside ``(key, block)``;
@@ -17,6 +17,7 @@ twice that, which is what makes broadcasting them safe.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,36 +90,18 @@ def next_after(expr: str | Column) -> Fn:
     return Fn("next_after", _col(expr))
 
 
-# Sources of at most this many bytes per row of the limit fit a single task whole.
-_SMALL_BYTES = 32
-
-
-def _leaves(df: DataFrame) -> tuple[frozenset[int], int]:
-    """Identity and total size of the tables a plan reads."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    every = [leaves.apply(i) for i in range(leaves.size())]
-    size = sum(int(str(leaf.stats().sizeInBytes())) for leaf in every)
-    return frozenset(leaf.semanticHash() for leaf in every), size
-
-
 def has_hot_group(df: DataFrame, key: list[str], limit: int) -> bool:
-    """Whether a group has more than *limit* rows (one key-only partial aggregate).
+    """Whether a group has more than *limit* rows, from counted rows.
 
-    The first key column is asked first: when its groups are small, so are all finer
-    ones.  Tables small enough for one task are not asked at all.  Answers are remembered
-    per source tables and key, so a chain of operators over the same tables asks once;
-    the answer only chooses between two plans with equal results.
+    Rows are counted first, with no column read; only a table of more than *limit* rows is
+    counted by key.  Answers are remembered per plan and key; they choose between two
+    plans with equal results.
     """
-    if len(key) > 1 and not has_hot_group(df, key[:1], limit):
-        return False
     keys = df.select(*key)
-    tables, size = _leaves(keys)
-    if size <= limit * _SMALL_BYTES:
-        return False
-    tag = (df.sparkSession.sparkContext.applicationId, tables, tuple(key), limit)
+    tag = (df.sparkSession.sparkContext.applicationId, keys.semanticHash(), tuple(key), limit)
     if tag not in _memo:
         size = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-        _memo[tag] = not size.filter(F.col("__n") > limit).isEmpty()
+        _memo[tag] = keys.count() > limit and not size.filter(F.col("__n") > limit).isEmpty()
     return _memo[tag]
 
 
@@ -253,6 +236,22 @@ def _combine(fn: Fn, name: str) -> Column:
     return F.coalesce(local, carry)
 
 
+def _exact_sums(df: DataFrame, outputs: dict[str, Fn]) -> tuple[dict[str, Fn], Callable[[DataFrame], DataFrame]]:
+    """Running sums of fractions as decimals, so that they do not depend on how groups are cut.
+
+    Fractions count in billionths; the returned function makes the sums doubles again.
+    """
+    sums = {n: f for n, f in outputs.items() if f.kind.startswith("sum")}
+    kinds = dict(df.select(*[f.expr.alias(n) for n, f in sums.items()]).dtypes) if sums else {}
+    real = [n for n, kind in kinds.items() if kind in ("double", "float")]
+    exact = {n: Fn(f.kind, f.expr.try_cast("decimal(28,9)")) if n in real else f for n, f in outputs.items()}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.withColumns({n: F.col(n).cast("double") for n in real}) if real else out
+
+    return exact, back
+
+
 def ordered(
     df: DataFrame,
     key: str | list[str],
@@ -271,9 +270,10 @@ def ordered(
     key = [key] if isinstance(key, str) else list(key)
     columns = [_col(c) for c in order]
     limit = limit or group_rows(df.sparkSession)
+    outputs, back = _exact_sums(df, outputs)
     if not has_hot_group(df, key, limit):
         window = Window.partitionBy(*key).orderBy(*columns)
-        return df.withColumns({n: _local(f, window) for n, f in outputs.items()})
+        return back(df.withColumns({n: _local(f, window) for n, f in outputs.items()}))
 
     # Rows and block summary both read the split rows: write them once.
     split = cut_lineage(with_blocks(df, key, [_col(c) for c in block_on or order[:1]], limit))
@@ -295,7 +295,7 @@ def ordered(
     )
     joined = rows.join(F.broadcast(carried), [*key, "__blk"], "left")
     done = joined.withColumns({n: _combine(f, n) for n, f in outputs.items()})
-    return done.select(*df.columns, *outputs)
+    return back(done.select(*df.columns, *outputs))
 
 
 def with_group(

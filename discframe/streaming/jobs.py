@@ -3,7 +3,11 @@
 Recurrences need their rows in order: a processor keeps arriving rows in list state,
 waits for the watermark to pass them (event-time timer), sorts what is due and runs the
 same step function as the batch fold.  Rows later than the watermark are dropped by
-Spark and counted in the query progress (``numRowsDroppedByWatermark``).
+Spark and counted in the query progress (``numRowsDroppedByWatermark``), so *delay* is how
+far out of order rows may come.
+
+A stream that ends says so: rows with ``end`` set (:func:`closing_rows`) close what a key
+still holds open, and a last row whose ``end`` is null moves the watermark past everything.
 
 Plain counts and window roll-ups use built-in streaming aggregation instead, which
 combines partially before the shuffle.
@@ -25,6 +29,8 @@ from discframe.operators.fold import Step
 from discframe.operators.fragments import assemble_step
 from discframe.operators.timeline import join_drift_step, rebase_step
 
+#: How far out of order rows may come, unless a job is told otherwise.
+DELAY = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,8 +41,8 @@ class OrderedFold(StatefulProcessor):
     step may return several outputs per row through *emit*.
     """
 
-    def __init__(self, step: Step, columns: list[str], emit, idle_ms: int | None = None):
-        self.step, self.columns, self.emit, self.idle_ms = step, columns, emit, idle_ms
+    def __init__(self, step: Step, columns: list[str], emit, finish=None):
+        self.step, self.columns, self.emit, self.finish = step, columns, emit, finish
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -62,14 +68,24 @@ class OrderedFold(StatefulProcessor):
             self.pending.put(waiting)
         else:
             self.pending.clear()
-        values = sorted((json.loads(row) for _, row in ready), key=lambda r: r[0])
+        # An end comes after all rows that are due with it.
+        values = sorted((json.loads(row) for _, row in ready), key=lambda r: ((False, True, None).index(r[3][0]), r[0]))
         state = tuple(json.loads(self.state.get()[0])) if self.state.exists() else None
         produced = []
-        for order, read, carry in values:
-            state, out = self.step(state, *read)
-            produced += self.emit(carry, out)
-        if values:
+        for _, read, carry, end in values:
+            if end[0] is None:
+                continue
+            if end[0]:
+                closed = self.finish(state) if self.finish and state is not None else None
+                produced += self.emit(carry, closed) if closed is not None else []
+                state = None
+            else:
+                state, out = self.step(state, *read)
+                produced += self.emit(carry, out)
+        if values and state is not None:
             self.state.update((json.dumps(state),))
+        elif values:
+            self.state.clear()
         yield self._frame(key, produced)
 
     def _frame(self, key, produced: list[tuple]) -> pd.DataFrame:
@@ -92,9 +108,17 @@ def fold_stream(
     outputs: list[tuple[str, T.DataType]],
     delay: str,
     emit=None,
+    finish=None,
 ) -> DataFrame:
-    """Streaming fold: *carry* columns of every row plus the step's *outputs*."""
+    """Streaming fold: *carry* columns of every row plus the step's *outputs*.
+
+    A row whose ``end`` is true (if there is such a column) is not folded: *finish* turns
+    the open state into a last output, and the key starts afresh.  Where ``end`` is null the
+    row only moves the watermark.
+    """
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if "end" not in df.columns:
+        df = df.withColumn("end", F.lit(False))
     field = {f.name: f for f in df.schema.fields}
     # Order, step inputs and passed-through columns of a row as one small JSON array.
     coded = (
@@ -104,7 +128,7 @@ def fold_stream(
             "fold_row",
             F.concat(
                 F.lit("["),
-                F.concat_ws(",", *[_json_array(part) for part in (order, read, carry)]),
+                F.concat_ws(",", *[_json_array(part) for part in (order, read, carry, ["end"])]),
                 F.lit("]"),
             ),
         )
@@ -120,11 +144,29 @@ def fold_stream(
     )
     emit = emit or (lambda passed, out: [(*passed, *out)])
     result = coded.groupBy("fold_key").transformWithStateInPandas(
-        OrderedFold(step, names, emit), schema, "Append", "EventTime"
+        OrderedFold(step, names, emit, finish), schema, "Append", "EventTime"
     )
     return result.withColumnRenamed("fold_key", key)
 
 
+def closing_rows(rows: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
+    """The rows that end a finite stream of *rows*: everything but *key*, *ts* and ``end`` is null.
+
+    One row per key just after the last row of all (``end`` true), and one of the greatest
+    key, more than *delay* later, which only moves the watermark (``end`` null).
+    """
+    last = rows.agg(F.max(key).alias("__key"), F.max(ts).alias("__last"))
+    after = F.col("__last") + F.expr("INTERVAL 1 SECOND")
+    late = after + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 DAY")
+    keys = rows.select(F.col(key).alias("__key")).distinct()
+    latest = rows.agg(F.max(ts)).first()[0]
+    ends = keys.select("__key", (F.lit(latest) + F.expr("INTERVAL 1 SECOND")).alias("__ts"), F.lit(True).alias("__end"))
+    moved = last.select("__key", late.alias("__ts"), F.lit(None).cast("boolean").alias("__end"))
+    filled = {key: "__key", ts: "__ts", "end": "__end"}
+    columns = [F.col(filled[f.name]) if f.name in filled else F.lit(None).cast(f.dataType) for f in rows.schema.fields]
+    return ends.unionByName(moved).select(*[c.alias(n) for c, n in zip(columns, rows.columns)])
+
+
 def _json_array(columns: list[str]) -> Column:
     """The columns as a JSON array; numbers stay numbers, NULL stays null."""
     if not columns:
@@ -137,7 +179,7 @@ def _json_array(columns: list[str]) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *filled), F.lit("]"))
 
 
-def rebase_stream(ticks: DataFrame, tolerance: int, delay: str = "0 seconds", key: str = "stream_id") -> DataFrame:
+def rebase_stream(ticks: DataFrame, tolerance: int, delay: str = DELAY, key: str = "stream_id") -> DataFrame:
     """Streaming clock rebase: ``key, event_id, pts, effective``."""
     return fold_stream(
         ticks, key, "ts", ["ts_us", "event_id"], ["pts"], ["event_id", "pts"], rebase_step(tolerance),
@@ -145,8 +187,14 @@ def rebase_stream(ticks: DataFrame, tolerance: int, delay: str = "0 seconds", ke
     )
 
 
-def assemble_stream(fragments: DataFrame, delay: str = "0 seconds", key: str = "stream_id") -> DataFrame:
-    """Streaming subpicture assembly from ``key, ts, seq, pts, hex`` rows."""
+def assemble_stream(
+    fragments: DataFrame, delay: str = DELAY, key: str = "stream_id", order: tuple[str, ...] = ("seq",)
+) -> DataFrame:
+    """Streaming subpicture assembly from ``key, ts, seq, pts, hex`` rows; the end of a
+    stream gives out what is open."""
+
+    def finish(state):
+        return tuple(state) if state[1] is not None else None
 
     def step(state, pts, chunk):
         return assemble_step(state, pts, chunk, False)
@@ -155,8 +203,8 @@ def assemble_stream(fragments: DataFrame, delay: str = "0 seconds", key: str = "
         return [(*passed, out[0], out[1])] if out[1] is not None else []
 
     return fold_stream(
-        fragments, key, "ts", ["seq"], ["pts", "hex"], ["seq"], step,
-        [("pts", T.LongType()), ("data", T.StringType())], delay, emit,
+        fragments, key, "ts", list(order), ["pts", "hex"], ["seq"], step,
+        [("pts", T.LongType()), ("data", T.StringType())], delay, emit, finish,
     )
 
 
@@ -169,19 +217,23 @@ def cues_step(state, pts, text, shown):
     return (text, pts if shown else None), closed
 
 
-def cues_stream(snapshots: DataFrame, delay: str = "0 seconds", key: str = "stream_id") -> DataFrame:
+def cues_stream(snapshots: DataFrame, delay: str = DELAY, key: str = "stream_id", tail: int = 450_000) -> DataFrame:
     """Streaming display cues: a cue is emitted when the next differing snapshot closes it.
 
-    Snapshots: ``key, ts, ts_us, event_id, pts, text, shown``.  The last cue of a stream
-    stays open in state until another snapshot closes it.
+    Snapshots: ``key, ts, ts_us, event_id, pts, text, shown``.  The cue that is open when
+    the stream ends lasts *tail*.
     """
 
+    def finish(state):
+        content, start = state
+        return (start, start + tail, content) if start is not None else None
+
     def emit(passed, out):
         return [(*passed, *out)] if out[0] is not None else []
 
     return fold_stream(
         snapshots, key, "ts", ["ts_us", "event_id"], ["pts", "text", "shown"], ["event_id"], cues_step,
-        [("start", T.LongType()), ("end", T.LongType()), ("text", T.StringType())], delay, emit,
+        [("start", T.LongType()), ("end", T.LongType()), ("text", T.StringType())], delay, emit, finish,
     )
 
 
@@ -196,7 +248,7 @@ def scan_vote_stream(frames: DataFrame, key: str = "stream_id", min_frames: int
     return counted.withColumn("scan", vote_verdict(min_frames, min_share)).drop("_top", "_bottom")
 
 
-def drift_stream(tails: DataFrame, tolerance: float = 0.010, delay: str = "0 seconds", key: str = "track") -> DataFrame:
+def drift_stream(tails: DataFrame, tolerance: float = 0.010, delay: str = DELAY, key: str = "track") -> DataFrame:
     """Streaming drift trim: one row per clip join with its cut.
 
     Tails: ``key, ts, clip, video_end, frame, pts array, offsets array``.
@@ -213,7 +265,7 @@ def drift_stream(tails: DataFrame, tolerance: float = 0.010, delay: str = "0 sec
     )
 
 
-def stalled(events: DataFrame, silence: str, delay: str = "0 seconds", key: str = "stream_id") -> DataFrame:
+def stalled(events: DataFrame, silence: str, delay: str = DELAY, key: str = "stream_id") -> DataFrame:
     """Keys that went silent: a session closes *silence* after its last event."""
     sessions = events.withWatermark("ts", delay).groupBy(F.session_window("ts", silence), key)
     return sessions.agg(F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n")).select(
@@ -221,7 +273,7 @@ def stalled(events: DataFrame, silence: str, delay: str = "0 seconds", key: str
     )
 
 
-def progress(events: DataFrame, window: str, percent: str, delay: str | None = "0 seconds", key: str = "stream_id") -> DataFrame:
+def progress(events: DataFrame, window: str, percent: str, delay: str | None = DELAY, key: str = "stream_id") -> DataFrame:
     """Rows, failures and the last reported percentage per key and tumbling window.
 
     The same code runs on batch and streaming frames.
