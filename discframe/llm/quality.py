@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from discframe.llm.common import cut_lineage, text_of
+from discframe.llm.common import cut_lineage, spaces, text_of
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Character classes; whatever is left is the last one.
@@ -46,7 +46,9 @@ WINDOW = 5
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPACE + "+"), "")
+    """The words of a text; trimmed first, so that the split leaves no empty ends."""
+    inner = F.btrim(text, F.lit(spaces))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE + "+"))
 
 
 def common_words(docs: DataFrame, text: str, lang: str, count: int) -> DataFrame:
@@ -58,7 +60,8 @@ def common_words(docs: DataFrame, text: str, lang: str, count: int) -> DataFrame
     best = Window.partitionBy("__lang").orderBy(F.desc("n"), "w")
     top = seen.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= count)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("at", "w"))), lambda x: x["w"])
-    return cut_lineage(top.groupBy("__lang").agg(listed.alias("__common")))
+    longest = F.max(F.octet_length("w")).alias("__longest")
+    return cut_lineage(top.groupBy("__lang").agg(listed.alias("__common"), longest))
 
 
 def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -74,8 +77,9 @@ def _with_repeats(rows: DataFrame) -> DataFrame:
     """Adds ``n_repeat_words``: words of ``__words`` covered by windows found twice or more."""
     last = F.size("__words") - WINDOW
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
     rows = rows.withColumn(
-        "__windows", F.transform(starts, lambda i: F.xxhash64(*[F.get("__words", i + k) for k in range(WINDOW)]))
+        "__windows", F.transform(starts, lambda i: F.xxhash64(*[F.get("__hashes", i + k) for k in range(WINDOW)]))
     )
     # Most texts repeat nothing; only the others are sorted.
     repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
@@ -112,10 +116,11 @@ def features(docs: DataFrame, common: DataFrame, text: str, lang: str, carry: li
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # Each word stands between two blanks of its own, so taking a common word out shortens
     # the text by its length and the blanks for every time it is there.
-    spaced = F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" "))
-    rows = rows.withColumns(
-        {"__common": F.coalesce("__common", F.array().cast("array<string>")), "__lines": lines, "__spaced": spaced}
-    )
+    # Words longer than every common one are left out before.
+    rows = rows.withColumn("__common", F.coalesce("__common", F.array().cast("array<string>")))
+    brief = F.filter("__words", lambda w: F.octet_length(w) <= F.col("__longest"))
+    spaced = F.concat(F.lit(" "), F.array_join(brief, "  "), F.lit(" "))
+    rows = rows.withColumns({"__lines": lines, "__spaced": spaced})
 
     def count(word: Column) -> Column:
         out = F.replace(F.col("__spaced"), F.concat(F.lit(" "), word, F.lit(" ")), F.lit(""))
@@ -139,14 +144,17 @@ def features(docs: DataFrame, common: DataFrame, text: str, lang: str, carry: li
 
 def distance(counts: Column, reference: Column) -> Column:
     """Jensen-Shannon distance of two histograms given as arrays of counts; 0 if one is empty."""
-    all_, ref = _summed(counts), _summed(reference)
 
     def term(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
 
-    parts = F.zip_with(counts, reference, lambda a, b: term(a / all_, b / ref) + term(b / ref, a / all_))
-    value = F.sqrt(F.greatest(F.lit(0.0), _summed(parts, "double") / 2))
-    return F.when((all_ > 0) & (ref > 0), value).otherwise(F.lit(0.0))
+    def compared(totals: Column) -> Column:
+        all_, ref = totals["a"], totals["b"]
+        parts = F.zip_with(counts, reference, lambda a, b: term(a / all_, b / ref) + term(b / ref, a / all_))
+        value = F.sqrt(F.greatest(F.lit(0.0), _summed(parts, "double") / 2))
+        return F.when((all_ > 0) & (ref > 0), value).otherwise(F.lit(0.0))
+
+    return _let(F.struct(_summed(counts).alias("a"), _summed(reference).alias("b")), compared)
 
 
 def references(rows: DataFrame, common_count: int) -> DataFrame:
