@@ -13,8 +13,8 @@ Two texts link when the Jaccard similarity of their sets of *n*-word shingles re
    with that many of them has no partner and stops here.
 4. **Tiles.**  The other nodes stand in tiles (prefix shingle, size band); a band spans a
    factor above ``1 / t``, so partners are in the same or the next one.
-5. **Stars.**  In every tile all nodes are compared with one node, picked by a hash: at most
-   one pair per tile row.  A pair is first bounded from above by its parity bitmaps
+5. **Stars.**  In every tile all nodes are compared with two of them, picked by a hash: at most
+   two pairs per tile row.  A pair is first bounded from above by its parity bitmaps
    (``overlap <= (|a| + |b| - differing bits) / 2``), then intersected exactly.
 6. **Rest.**  Tiles that still hold several components compare their nodes across
    components, under the same bound, in blocks of a fixed number of rows.
@@ -28,15 +28,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from discframe.llm.common import cut_lineage, text_of, upper_ascii
+from discframe.llm.common import cut_lineage, one_or_more_words, text_of, upper_ascii
 from discframe.llm.components import components
 
 LOWER = bytes.maketrans(upper_ascii.encode(), upper_ascii.lower().encode())
@@ -68,7 +69,8 @@ def prefix_length(size, num: int, den: int):
 
 
 def _width(size: int) -> int:
-    return min(2048, max(128, 1 << (int(size) - 1).bit_length()))
+    """Bits of a bitmap: eight or more per shingle, so that few differences cancel out."""
+    return min(8192, max(256, 8 << (int(size) - 1).bit_length()))
 
 
 def parity_bits(tokens: np.ndarray) -> np.ndarray:
@@ -270,9 +272,13 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 
 def _stars(tiles: DataFrame) -> DataFrame:
-    pick = F.min(F.struct(F.xxhash64("shingle", "node").alias("h"), F.col("node").alias("n")))
-    centre = tiles.groupBy("shingle", "tile").agg(pick.alias("c"), F.count(F.lit(1)).alias("k"), F.min("guest").alias("g"))
-    centre = centre.filter((F.col("k") > 1) & (F.col("g") == 0)).select("shingle", "tile", F.col("c")["n"].alias("centre"))
+    """Every node of a tile with two of its nodes: those of the least and the greatest hash."""
+    spot = F.struct(F.xxhash64("shingle", "node").alias("h"), F.col("node").alias("n"))
+    centre = tiles.groupBy("shingle", "tile").agg(
+        F.array_distinct(F.array(F.min(spot), F.max(spot))).alias("c"), F.min("guest").alias("g")
+    )
+    # Guests alone meet in their own band's tile.
+    centre = centre.filter((F.size("c") > 1) & (F.col("g") == 0)).select("shingle", "tile", F.explode("c.n").alias("centre"))
     met = tiles.join(centre, ["shingle", "tile"]).filter(F.col("node") != F.col("centre"))
     return met.select(*_ordered(F.col("node"), F.col("centre"))).distinct()
 
@@ -292,30 +298,68 @@ def _across(tiles: DataFrame, nodes: DataFrame, roots: DataFrame, num: int, den:
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node").reset_index(drop=True)
-        size = group["size"].to_numpy(np.int64)
-        guest = group["guest"].to_numpy() == 1
-        root = pd.factorize(group["root"])[0]
-        own = group["own"].to_numpy()
-        two = group["x"].iloc[0] != group["y"].iloc[0]
-        raw = [np.frombuffer(b, np.uint64) for b in group["bits"]]
-        bits = np.stack([_fold(b, min(map(len, raw))) for b in raw])
-        found = []
-        for i in range(len(group) - 1):
-            after = slice(i + 1, None)
-            ok = (root[after] != root[i]) & ~(guest[after] & guest[i])
-            ok &= (own[after] != own[i]) | (not two)
-            ok &= (size[after] * den >= size[i] * num) & (size[i] * den >= size[after] * num)
-            at = np.nonzero(ok)[0] + i + 1
+    key = ["shingle", "tile", "x", "y"]
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for part in parts:
+                yield from zip(*[column.to_pylist() for column in part.columns])
+
+        seen: set[tuple[bytes, bytes]] = set()
+        fresh: list[tuple[bytes, bytes]] = []
+        for at, rows_ in groupby(each(), key=lambda r: r[:4]):
+            for pair in _near_pairs([_Row(*r[4:]) for r in rows_], at[2] != at[3], num, den):
+                if pair not in seen:
+                    seen.add(pair)
+                    fresh.append(pair)
+            if len(fresh) > 5000:
+                yield _pair_batch(fresh)
+                fresh = []
+            if len(seen) > 500_000:
+                # Only spares repeats within a task; what comes again is dropped below.
+                seen.clear()
+        yield _pair_batch(fresh)
+
+    sorted_rows = rows.select(*key, "node", "root", "size", "guest", "own", "bits").repartition(*key)
+    return sorted_rows.sortWithinPartitions(*key).mapInArrow(compare, "u binary, v binary").distinct()
+
+
+class _Row(NamedTuple):
+    node: bytes
+    root: bytes
+    size: int
+    guest: int
+    own: int
+    bits: bytes
+
+
+def _pair_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, ["u", "v"])
+
+
+def _near_pairs(rows: list[_Row], two_blocks: bool, num: int, den: int) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of a tile in different components that the sizes and the bitmaps allow."""
+    size = np.array([r.size for r in rows], np.int64)
+    raw = [np.frombuffer(r.bits, np.uint64) for r in rows]
+    words = min(map(len, raw))
+    bits = np.stack([r if len(r) == words else _fold(r, words) for r in raw])
+    names: dict[bytes, int] = {}
+    root = np.array([names.setdefault(r.root, len(names)) for r in rows])
+    home = np.array([r.guest == 0 for r in rows])
+    own = np.array([r.own for r in rows])
+    for i in range(len(rows) - 1):
+        after = slice(i + 1, None)
+        ok = (root[after] != root[i]) & (home[after] | home[i])
+        ok &= (size[after] * den >= size[i] * num) & (size[i] * den >= size[after] * num)
+        if two_blocks:
+            ok &= own[after] != own[i]
+        at = np.nonzero(ok)[0] + i + 1
+        if len(at):
             differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1).astype(np.int64)
-            near = at[_enough((size[at] + size[i] - differ) // 2, size[at], size[i], num, den)]
-            found += [(i, j) for j in near]
-        node = group["node"]
-        pairs = [sorted((node[i], node[j])) for i, j in found]
-        return pd.DataFrame(pairs, columns=["u", "v"])
-
-    return rows.groupBy("shingle", "tile", "x", "y").applyInPandas(compare, "u binary, v binary").distinct()
+            for j in at[_enough((size[at] + size[i] - differ) // 2, size[at], size[i], num, den)]:
+                a, b = rows[i].node, rows[j].node
+                yield (a, b) if a < b else (b, a)
 
 
 def linked(
@@ -349,3 +393,19 @@ def with_component(rows: DataFrame, key: str) -> DataFrame:
     grouped = rows.filter(F.col("root").isNotNull()).select(key, "n_shingles", "root")
     least = grouped.groupBy("root").agg(F.min(key).alias("component_id"))
     return grouped.join(least, "root").select(key, "n_shingles", "component_id").unionByName(alone)
+
+
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of *docs* without near duplicates: of each component the row with the least
+    key; rows whose text has no words stay."""
+    mark = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.hex("name")).cast("binary"))
+    rows = linked(docs, key, text, **settings)
+    first = rows.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(key, "name")).alias("r"))
+    first = cut_lineage(first.select("r.*").select(mark.alias("__mark")))
+    named = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(key), _name(text).alias("name"))
+    named = named.select("__row", mark.alias("__mark"))
+    # Equal rows share their mark; the first of them stays.
+    order = Window.partitionBy("__mark").orderBy("__mark")
+    chosen = named.join(first, "__mark", "left_semi").withColumn("__at", F.row_number().over(order))
+    wordless = docs.filter(~F.coalesce(F.col(text).rlike(one_or_more_words), F.lit(False)))
+    return chosen.filter(F.col("__at") == 1).select("__row.*").unionByName(wordless)
