@@ -16,7 +16,10 @@ _EPISODE = "regexp_matches(w, '^s[0-9]{1,2}e[0-9]{1,3}$')"
 
 
 def _clean_sql(source: str) -> str:
-    """The release-name rules as DuckDB list functions over ``source(id, name)``."""
+    """The release-name rules as DuckDB list functions over ``source(id, name)``.
+
+    The upper case of ß is SS, which DuckDB leaves as it is.
+    """
     return f"""src AS ({source}),
 tk AS (SELECT id, name, list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(regexp_replace(name,
     '\\.(mkv|mp4|avi|iso|m2ts|vob|ts|m4v)$', '', 'i'), '[._\\-]+', ' ', 'g')), '[\\[\\]()]', ' ', 'g'), '\\s+'), lambda t: t <> '') AS tokens FROM src),
@@ -28,7 +31,7 @@ kp AS (SELECT *, trim(array_to_string(list_transform(tokens[1:n], lambda t, i: C
     WHEN regexp_matches(words[i], '^s[0-9]{{1,2}}e[0-9]{{1,3}}$') THEN upper(t) ELSE t END), ' '), ' -,.;:!?') AS title FROM st),
 wk AS (SELECT *, list_filter(regexp_split_to_array(title, '\\s+'), lambda t: t <> '') AS parts FROM kp)
 SELECT id, name, coalesce(array_to_string(list_transform(parts, lambda t, i: CASE WHEN regexp_matches(lower(t), '^s[0-9]{{1,2}}e[0-9]{{1,3}}$') THEN upper(t)
-    WHEN i > 1 AND lower(t) IN ({_SMALL}) THEN lower(t) WHEN regexp_matches(t, '^\\p{{L}}') THEN upper(t[1:1]) || lower(t[2:]) ELSE t END), ' '), '') AS clean FROM wk"""
+    WHEN i > 1 AND lower(t) IN ({_SMALL}) THEN lower(t) WHEN regexp_matches(t, '^\\p{{L}}') THEN CASE t[1:1] WHEN 'ß' THEN 'SS' ELSE upper(t[1:1]) END || lower(t[2:]) ELSE t END), ' '), '') AS clean FROM wk"""
 
 
 _RELEASES = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'The.' ELSE '[' END || replace(p_name, ' ', '.of.') || '].' ||

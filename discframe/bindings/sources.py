@@ -291,3 +291,32 @@ def _(spark, sf_dir):
     return done.select(
         "p_partkey", *[F.array_join(n, "|").alias(n) for n in ("cast_names", "writers", "directors")], "rating"
     )
+
+
+@query("s7_packets", """SELECT event_id, CAST(4096 + user_id % 4096 AS BIGINT) AS pid, CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0 AS starts,
+  CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0 THEN abs(CAST(round(value * 100) AS BIGINT)) END AS pts FROM events""")
+def _(spark, sf_dir):
+    """Every event as one transport packet, written byte by byte and decoded again."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    pid, pts = 4096 + F.col("user_id") % 4096, F.abs(F.round(F.col("value") * 100).cast("long"))
+
+    def byte(value):
+        return F.lpad(F.hex(value.cast("long")), 2, "0")
+
+    def bits(value, right, mask):
+        return F.shiftright(value, right).bitwiseAND(F.lit(mask).cast("long"))
+
+    stamp = [
+        bits(pts, 29, 0x0E).bitwiseOR(F.lit(0x21).cast("long")),
+        bits(pts, 22, 0xFF),
+        bits(pts, 14, 0xFE).bitwiseOR(F.lit(1).cast("long")),
+        bits(pts, 7, 0xFF),
+        F.shiftleft(pts, 1).bitwiseAND(F.lit(0xFE).cast("long")).bitwiseOR(F.lit(1).cast("long")),
+    ]
+    starts = k % 3 == 0
+    first = F.shiftright(pid, 8) + F.when(starts, 0x40).otherwise(0)
+    head = F.concat(F.lit("0000000047"), byte(first), byte(pid % 256), F.lit("10"))
+    body = F.when(starts, F.concat(F.lit("000001E00000808005"), *map(byte, stamp))).otherwise("")
+    record = F.unhex(F.rpad(F.concat(head, body), 2 * 192, "F"))
+    records = b.table(spark, sf_dir, "events").select("event_id", record.alias("record"))
+    return f.decode_packets(records, ["event_id"])

@@ -88,11 +88,12 @@ def read_records(spark: SparkSession, path: str, record_len: int, records_per_ta
                     handle.seek(row["start"])
                     data = handle.read(min(chunk, row["length"] - row["start"]))
                 count = len(data) // record_len
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(record_len), count, [None, pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["path"]] * count, pa.string()),
                         pa.array([row["start"] + i * record_len for i in range(count)], pa.int64()),
-                        pa.array([data[i * record_len : (i + 1) * record_len] for i in range(count)], pa.binary()),
+                        fixed.cast(pa.binary()),
                     ],
                     names=["path", "offset", "record"],
                 )
@@ -102,19 +103,23 @@ def read_records(spark: SparkSession, path: str, record_len: int, records_per_ta
 
 
 def read_packets(spark: SparkSession, path: str, record_len: int = 192) -> DataFrame:
-    """``path, offset, pid, starts, pts`` of transport packets (192 or 188 bytes each).
+    """``path, offset, pid, starts, pts`` of the transport packets in files."""
+    return decode_packets(read_records(spark, path, record_len), ["path", "offset"], record_len)
+
+
+def decode_packets(records: DataFrame, keep: list[str], record_len: int = 192) -> DataFrame:
+    """*keep* columns and ``pid, starts, pts`` of packets (192 or 188 bytes) in ``record``.
 
     ``pts`` is set where a packet starts a PES with a presentation time; all decoding is
-    column arithmetic on the record bytes.
+    column arithmetic on the record bytes.  Records without the sync byte are left out.
     """
     head = record_len - 188
-    rows = read_records(spark, path, record_len).filter(_byte("record", head) == 0x47)
+    rows = records.filter(_byte("record", head) == 0x47)
     b1, b2, b3 = (_byte("record", head + i) for i in (1, 2, 3))
     control = F.shiftright(b3, 4).bitwiseAND(F.lit(3))
     skip = F.when(control.bitwiseAND(F.lit(2)) != 0, 1 + _byte("record", head + 4)).otherwise(0)
     base = rows.select(
-        "path",
-        "offset",
+        *keep,
         "record",
         (F.shiftleft(b1.bitwiseAND(F.lit(0x1F)), 8) + b2).alias("pid"),
         (b1.bitwiseAND(F.lit(0x40)) != 0).alias("starts"),
@@ -131,4 +136,4 @@ def read_packets(spark: SparkSession, path: str, record_len: int = 192) -> DataF
         + F.shiftleft(t[3], 7)
         + F.shiftright(t[4], 1)
     )
-    return base.select("path", "offset", "pid", "starts", F.when(stamped, pts).alias("pts"))
+    return base.select(*keep, "pid", "starts", F.when(stamped, pts).alias("pts"))
