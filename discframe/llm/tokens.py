@@ -14,6 +14,7 @@ counted one by one, so repeated rows give repeated results.  Other columns are n
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,9 +30,15 @@ FLUSH = 400_000
 
 
 class PreTokens:
-    """The pre-tokens of a byte-level tokenizer file, and how many pieces each has."""
+    """The pre-tokens of a byte-level tokenizer file, and how many pieces each has.
 
-    def __init__(self, path: str, pattern: str):
+    The library's own splitter is exact but slow.  The pattern gives the same pre-tokens
+    wherever both take every character for the same class; *odd* holds the characters
+    (assigned in later editions of Unicode) where they do not, and texts with one of these
+    go to the library.
+    """
+
+    def __init__(self, path: str, pattern: str, odd: str = ""):
         import json
 
         import regex
@@ -51,14 +58,40 @@ class PreTokens:
         self.special = frozenset(names)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.pattern = regex.compile(pattern)
+        # On ASCII alone the classes are plain ranges, which the simpler engine runs faster.
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]")
+        plain = plain.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        self.ascii = re.compile(plain, re.ASCII)
+        self.odd = frozenset(odd)
+
+    def odd_characters(self) -> str:
+        """Characters whose class the pattern and the library see differently."""
+        points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+        return "".join(self._odd_of(points[i : i + 20_000]) for i in range(0, len(points), 20_000))
+
+    def _odd_of(self, points: list[str]) -> str:
+        # Whether a character joins the letter before it and the mark behind it.
+        text = "".join(f"a{c}!" for c in points)
+        theirs = {end for _, (_, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)}
+        ours = {m.end() for m in self.pattern.finditer(text)}
+        return "".join(
+            c for i, c in enumerate(points) if any((3 * i + k in theirs) != (3 * i + k in ours) for k in (1, 2))
+        )
+
+    def _part(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii.findall(text)
+        if not self.odd.isdisjoint(text):
+            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return self.pattern.findall(text)
 
     def split(self, text: str) -> list[str]:
         """Added tokens stand for themselves; what lies between is split by the pattern."""
         if self.cut is None or not self.cut.search(text):
-            return self.pattern.findall(text)
+            return self._part(text)
         out: list[str] = []
         for part in self.cut.split(text):
-            out += [part] if part in self.special else self.pattern.findall(part)
+            out += [part] if part in self.special else self._part(part)
         return out
 
     def pieces(self, tokens: list[str]) -> list[int]:
@@ -80,8 +113,10 @@ def token_counts(
     workers, so the file has to be at the same place everywhere.
     """
 
+    odd = PreTokens(path, pattern).odd_characters()
+
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = PreTokens(path, pattern), Counter()
+        known, seen = PreTokens(path, pattern, odd), Counter()
 
         def flush():
             return pa.RecordBatch.from_pydict(
@@ -110,12 +145,20 @@ def token_counts(
         .agg(F.sum("n").alias("n"))
         .mapInArrow(encode, "pre string, n long, pieces long")
     )
-    top = pieces.orderBy(F.desc("n"), "pre").limit(frequent).toArrow()
+    # The least count that at most *frequent* pre-tokens reach, from a histogram of counts.
+    step = F.floor(F.log2("n") * 16)
+    rest, least = frequent, None
+    for row in pieces.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        rest -= row["count"]
+        if rest < 0:
+            break
+        least = row["step"]
+    top = pieces.filter(step >= least).toArrow() if least is not None else pieces.limit(0).toArrow()
     table = dict(zip(top["pre"].to_pylist(), top["pieces"].to_pylist()))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def per_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = PreTokens(path, pattern), shared.value
+        known, table = PreTokens(path, pattern, odd), shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
