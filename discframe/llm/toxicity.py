@@ -260,7 +260,7 @@ def toxicity(
     label: str = "toxic",
     *,
     sample_rows: int = 20_000,
-    least_texts: int = 3,
+    least_texts: int = 5,
     least_weight: float = 3.0,
     most_terms: int = 5000,
     productive: int = 4,
