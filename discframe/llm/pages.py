@@ -29,7 +29,8 @@ from discframe.llm.common import id_field
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|keep|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+#: One attribute of a tag: its whole name and, if it has one, its value with the quotes.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,6 +82,15 @@ class Block:
     keep: bool
 
 
+def _hides(name: str, value: str) -> bool:
+    """Whether an attribute hides its element (``hidden`` does with any value but one)."""
+    if name == "hidden":
+        return value.strip() != "until-found"
+    if name == "aria-hidden":
+        return value.strip() == "true"
+    return name == "style" and re.search(r"(?<![\w-])display\s*:\s*none", value) is not None
+
+
 def _kinds(tag: str, attributes: str) -> tuple[str, bool]:
     """What an element says about its text (or nothing), and whether it is marked."""
     kind, keep = TAG_KIND.get(tag, ""), False
@@ -88,7 +98,7 @@ def _kinds(tag: str, attributes: str) -> tuple[str, bool]:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "keep":
             keep = True
-        elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
+        elif _hides(name, value):
             kind = "hidden"
         elif name in ("class", "id", "role") and tag not in ("html", "body"):
             for word in re.split(r"[^a-z]+", value):

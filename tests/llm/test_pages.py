@@ -66,3 +66,21 @@ def test_query(spark):
         want = [" ".join(html.unescape(x).split()) for x in body.split("\0")]
         assert r["text"] == "\n".join(x for x in want if x)
         assert r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['aria-hidden="false"', 'data-hidden="0"', 'title="the hidden valley"', 'data-id="comments-3"', 'data-href="/a?id=comment"',
+     "data-url=/a?class=ad", "title='style=display:none'", 'data-style="display:none"', 'data-x="a" data-class="ad"', "hidden-at=1"],
+)
+def test_only_whole_attribute_names_count(tree, attributes):
+    page = f"<article><h1>Ice</h1><p>{LONG}</p><p>{LONG}</p></article>"
+    assert pages.main_text(page.replace("<article", f"<article {attributes}"), tree) == pages.main_text(page, tree) != ""
+    assert pages._kinds("div", f" {attributes}") == ("", False)
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'HIDDEN=""', "aria-hidden=true", 'title="x"hidden', "style='a:b; display : none'"])
+def test_hiding_attributes(tree, attributes):
+    assert pages._kinds("div", f" {attributes}") == ("hidden", False)
+    page = f"<article><p>{LONG}</p><div {attributes}><p>{LONG} {LONG}</p></div></article>"
+    assert pages.main_text(page, tree) == LONG
