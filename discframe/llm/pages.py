@@ -34,7 +34,9 @@ ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*)
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button object canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+#: Elements that hold markup, but no text of the page.
+MUTE = frozenset("head svg math select datalist option button object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -48,7 +50,14 @@ CLOSES = {
     "tr": {"tr", "td", "th", "p"},
     "td": {"td", "th", "p"},
     "th": {"td", "th", "p"},
-} | {tag: {"p"} for tag in BLOCK if tag not in ("p", "li", "dt", "dd", "tr", "td", "th")}
+    "option": {"option"},
+    "optgroup": {"option"},
+    "button": {"button"},
+    "select": {"select", "option"},
+    "body": {"head", "p"},
+} | {tag: {"p"} for tag in BLOCK if tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "body")}
+# The end tags of an option and of the head may be missing.
+CLOSES |= {tag: gone | {"option", "head"} for tag, gone in CLOSES.items() if tag in BLOCK}
 
 #: Words of class, id or role names, by what they say about the text inside.
 HINTS = {
@@ -110,24 +119,44 @@ def _kinds(tag: str, attributes: str) -> tuple[str, bool]:
 
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in page order."""
-    page = page or ""
+    found, unclosed = _read(page or "", frozenset())
+    # What is never closed hides nothing, as nobody can say where it ends.
+    return _read(page or "", unclosed)[0] if unclosed else found
+
+
+def _read(page: str, open_ended: frozenset[int]) -> tuple[list[Block], frozenset[int]]:
+    """The blocks, and the places of :data:`MUTE` elements without an end of their own;
+    those at the places *open_ended* are read like any other element."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []
+    # Name, kind, mark and place of the open elements; whether they are mute.
+    stack: list[tuple[str, str, bool, int, bool]] = []
     parts: list[str] = []
+    unclosed: set[int] = set()
+    endless: set[str] = set()
     linked = 0
-    links = 0
+    links = mute = 0
 
     def flush():
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
-        if text and not any(s[0] in RAW or s[0] == "head" for s in stack):
+        if text:
             words = text.count(" ") + 1
             tags = [s[0] for s in stack if s[0] in BLOCK]
             kinds = tuple(s[1] for s in stack if s[1])
             out.append(Block(text, words, min(1.0, linked / words), tags[-1] if tags else "", kinds, any(s[2] for s in stack)))
         linked = 0
 
+    def close(i: int, own: bool):
+        """Ends the open elements from *i* on; *own* by the end tag of the first of them."""
+        nonlocal links, mute
+        for at, (name, _, _, place, silent) in enumerate(stack[i:], i):
+            links -= name == "a"
+            mute -= silent
+            if silent and name != "option" and not (own and at == i):
+                unclosed.add(place)
+        del stack[i:]
+
     at, end = 0, len(page)
     while at < end:
         start = page.find("<", at)
@@ -135,7 +164,7 @@ def blocks(page: str | None) -> list[Block]:
             start = end
         found = TAG.match(page, start) if start < end else None
         stop = start if found or start == end else start + 1
-        if stop > at:
+        if stop > at and not mute:
             piece = page[at:stop]
             parts.append(piece)
             if links:
@@ -148,41 +177,52 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         if page[start + 1] == "/":
-            if any(s[0] == tag for s in stack):
-                if tag in BLOCK:
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if i is not None:
+                if tag in BLOCK and not any(s[4] for s in stack[:i]):
                     flush()
-                while stack:
-                    name = stack.pop()[0]
-                    links -= name == "a"
-                    if name == tag:
-                        break
-            elif tag == "p":
+                close(i, True)
+            elif tag == "p" and not mute:
                 flush()
             continue
         if tag in VOID:
             if tag in ("br", "hr", "img"):
                 parts.append(" ")
             continue
+        if page[at - 2 : at] == "/>" and (tag in ("svg", "math") or any(s[0] in ("svg", "math") for s in stack)):
+            parts.append(" ")
+            continue
         if tag in RAW:
             # Raw text up to its own end tag, whatever stands inside.
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            at = close.end() if close else end
+            ended = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             parts.append(" ")
+            if ended:
+                at = ended.end()
+            elif tag in ("noscript", "template"):
+                endless.add(tag)
+            else:
+                at = end
             continue
-        if tag in BLOCK:
+        for i in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
+            if stack[i][0] in CLOSES[tag]:
+                if tag in BLOCK and not any(s[4] for s in stack[:i]):
+                    flush()
+                # The end tag of the head may be missing, that of a button or select may not.
+                close(i, stack[i][0] == "head")
+                break
+            if stack[i][0] in BLOCK or (stack[i][4] and stack[i][0] != "option"):
+                break
+        if tag in BLOCK and not mute:
             flush()
-            gone = CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in gone:
-                    links -= sum(s[0] == "a" for s in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        stack.append((tag, *_kinds(tag, found[2])))
+        silent = tag in MUTE and start not in open_ended
+        if silent:
+            parts.append(" ")
+        stack.append((tag, *_kinds(tag, found[2]), start, silent))
         links += tag == "a"
+        mute += silent
     flush()
-    return out
+    close(0, False)
+    return out, frozenset(unclosed)
 
 
 def table(page_blocks: list[Block]) -> list[list[float]]:

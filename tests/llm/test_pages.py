@@ -84,3 +84,25 @@ def test_hiding_attributes(tree, attributes):
     assert pages._kinds("div", f" {attributes}") == ("hidden", False)
     page = f"<article><p>{LONG}</p><div {attributes}><p>{LONG} {LONG}</p></div></article>"
     assert pages.main_text(page, tree) == LONG
+
+
+@pytest.mark.parametrize(
+    ("middle", "inside"),
+    [
+        ('<svg class="i"/>', ""), ("<math/>", ""), ('<svg><path d=""/><title/></svg>', ""), ("<svg><g><text>x</text></g></svg>", ""),
+        ("<datalist id=d><option value=a><option value=b>B</datalist>", ""), ("<select><option>A<option>B</select>", ""),
+        ("<button><div>Go</div></button>", ""), ("<canvas><p>old</p></canvas>", ""), ("<object><object>a</object><p>b</p></object>", ""),
+        ("<button>Go", "Go"), ("<object data=x>", ""), ("<canvas>", ""), ("<select><option>A", ""), ("<option>A", ""),
+        ("<button>Go<p>Half.</p><button>Stop</button>", "Go Half."), ("<noscript>", ""), ("<template>", ""),
+    ],
+)
+def test_elements_without_text_end_where_they_end(middle, inside):
+    got = [b.text for b in pages.blocks(f"<p>One.</p>{middle}<p>Two.</p><svg></svg><div>Three.</div>")]
+    assert " ".join(got).split() == f"One. {inside} Two. Three.".split()
+    if not middle.endswith("<option>A"):  # whose text goes on to the next block
+        inline = [b.text for b in pages.blocks(f"<div><p>One {middle} two.</p></div><p>Three.</p>")]
+        assert " ".join(inline).split()[0] == "One" and " ".join(inline).split()[-2:] == ["two.", "Three."]
+
+
+def test_head_without_end_tag():
+    assert [b.text for b in pages.blocks("<html><head><title>T</title>\n<body><p>One.</p>")] == ["One."]
