@@ -63,4 +63,15 @@ SAMPLES = [
     <form><div class="body"><p>{LONG}</p></div></form><div class="ad"><div class="content"><p>{LONG}</p></div></div>
     <nav><div class="main"><p>{LONG}</p></div></nav><div class="cookie"><div class="body"><p>{LONG}</p></div></div>
     <div hidden><div class="content"><p>{LONG}</p></div></div><p>{LONG}</p></body>""",
+    # Wrappers with the name of some other part around the whole page, or around the article.
+    f"""<body><div class="top"><nav><a href=/>Home</a></nav><article class="post category-more tag-sport"><h1 keep>{MIDDLE}</h1>
+    <p keep>{LONG}</p><p keep>{SHORT}</p><div class="share"><a href=/f>Share</a></div><p keep>{LONG}</p></article>
+    <div class="comments"><p>{LONG} {LONG}</p><p>{SHORT}</p></div></div></body>""",
+    f"""<body><form id="form"><div class="menu"><a href=/1>Start</a></div><div id="content" class="with-sidebar social ad">
+    <h2 keep>Ice</h2><p keep>{LONG}</p><p keep>{MIDDLE}</p><p keep>{SHORT}</p></div><aside><p>{LONG}</p></aside>
+    <div class="ad">{MIDDLE}</div></form><footer>{MIDDLE}</footer></body>""",
+    f"""<body><div class="thread"><div><a href=/>Home</a> | <a href=/b>Boats</a></div><h1 keep>{MIDDLE}</h1><p keep>{LONG}</p>
+    <p keep>{LONG} {MIDDLE}</p><p keep>{LONG}</p><div><a href=/c>Contact us</a></div></div></body>""",
+    f"""<body><div class="side"><main class="has-banner share-on"><p keep>{MIDDLE}</p><p keep>{LONG}</p><p keep>{SHORT}</p></main></div>
+    <div class="tags"><p>{MIDDLE}</p></div></body>""",
 ]

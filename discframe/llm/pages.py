@@ -2,7 +2,8 @@
 
 A page is read once, tag by tag, into blocks: runs of text between block-level tags.  Each
 block has its word count and link density, those of its neighbours, and what the tags
-around it say (article, menu, advert and so on, by element name or class words).  A tree
+around it say (article, menu, advert and so on, by element name or whole class names; a part
+that holds most of a page is a wrapper, whatever its name).  A tree
 is grown on the blocks of a few labelled sample pages (:data:`SAMPLES`), where the attribute
 ``keep`` marks the main text; blocks that the tree takes for main text are joined.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,8 @@ TAG = re.compile(
 #: One attribute of a tag: its whole name and, if it has one, its value with the quotes.
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 
+NUMBER = re.compile(r"-?[0-9]+\Z")
+
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -59,24 +63,39 @@ CLOSES = {
 # The end tags of an option and of the head may be missing.
 CLOSES |= {tag: gone | {"option", "head"} for tag, gone in CLOSES.items() if tag in BLOCK}
 
-#: Words of class, id or role names, by what they say about the text inside.
+#: Whole class, id or role names (``_`` read as ``-``, a number at the end ignored), by what
+#: they say about the text inside.
 HINTS = {
-    "menu": "nav navbar menu breadcrumb breadcrumbs pagination pager toc tabs toolbar navigation skip",
-    "frame": "header masthead footer banner top bottom copyright legal imprint contentinfo",
-    "side": "sidebar aside side rail widget related recommended recommend popular trending more tags share social complementary",
-    "notice": "cookie consent notice alert gdpr popup modal overlay toast newsletter subscribe signup login paywall promo",
-    "advert": "ad ads advert adverts advertisement sponsor sponsored sponsor-box promoted adbox adsense commercial",
-    "comment": "comment comments respond reply replies disqus discussion thread",
-    "form": "form search searchbox",
-    "main": "article post entry content main story body text articlebody",
+    "menu": "nav navbar nav-bar menu main-nav main-menu nav-menu site-nav navigation main-navigation site-navigation "
+    "post-navigation nav-links breadcrumb breadcrumbs pagination page-numbers pager toc tabs toolbar skip skip-link",
+    "frame": "header masthead footer banner top bottom copyright legal imprint contentinfo site-header page-header "
+    "site-footer page-footer disclaimer-footer footer-widgets",
+    "side": "sidebar side-bar aside side rail widget widget-area related related-posts related-articles related-links "
+    "recommended recommend recommended-posts popular popular-posts trending more read-more tags tag-list post-tags share "
+    "share-buttons social social-links social-share complementary",
+    "notice": "cookie cookie-notice cookie-banner cookie-bar cookie-consent consent notice alert gdpr popup modal overlay toast "
+    "newsletter newsletter-signup newsletter-form subscribe signup sign-up email-signup login paywall promo",
+    "advert": "ad ads ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper advert adverts advert-box advertisement sponsor "
+    "sponsored sponsored-content sponsor-box promoted adbox adsense google-ad commercial",
+    "comment": "comment comments comment-body comment-content comment-list comment-text comments-area comments-list "
+    "comments-section respond comment-respond comment-form reply replies disqus discussion thread",
+    "form": "form search searchbox search-form contact-form login-form",
+    "main": "article post blog-post entry content main main-content page-content story body text articlebody article-body "
+    "article-content article-text body-content body-text entry-body entry-content post-body post-content post-text story-body",
 }
+#: Names that an article of a reader has.
+REMARKS = frozenset("comment comments comment-body reply replies".split())
+#: A part named by a class holds the page, and says nothing of it, from this share of its words on.
+WIDE = 0.5
 HINT_OF = {word: kind for kind, words in HINTS.items() for word in words.split()}
 TAG_KIND = {
     "nav": "menu", "menu": "menu", "header": "frame", "footer": "frame", "aside": "side", "dialog": "notice",
     "form": "form", "fieldset": "form", "article": "main", "main": "main",
 }
+#: Elements that are none of the main text, however much they hold.
+SURE = frozenset("nav menu header footer aside dialog".split())
 FEATURES = (
-    "outside", "frame", "in_main", "has_main", "heading", "item",
+    "outside", "frame", "in_main", "has_main", "wrapped", "heading", "item",
     "words", "density", "words_before", "density_before", "words_after", "density_after",
 )
 
@@ -87,9 +106,14 @@ class Block:
     words: int
     density: float
     tag: str
-    kinds: tuple[str, ...]
+    #: Place in the page and kind of the elements that say something; whether they surely do.
+    around: tuple[tuple[int, str, bool], ...]
     keep: bool
 
+    @property
+    def kinds(self) -> tuple[str, ...]:
+        return tuple(kind for _, kind, _ in self.around)
+
 
 def _hides(name: str, value: str) -> bool:
     """Whether an attribute hides its element (``hidden`` does with any value but one)."""
@@ -101,20 +125,33 @@ def _hides(name: str, value: str) -> bool:
 
 
 def _kinds(tag: str, attributes: str) -> tuple[str, bool]:
-    """What an element says about its text (or nothing), and whether it is marked."""
-    kind, keep = TAG_KIND.get(tag, ""), False
+    """What an element says about its text (or nothing), and whether it is marked.
+
+    A name of main text wins over other names of the same element, and an article or main
+    element over all of them, but for the names of readers' remarks.
+    """
+    own, keep, hidden = TAG_KIND.get(tag, ""), False, False
+    said: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "keep":
             keep = True
         elif _hides(name, value):
-            kind = "hidden"
+            hidden = True
         elif name in ("class", "id", "role") and tag not in ("html", "body"):
-            for word in re.split(r"[^a-z]+", value):
-                said = HINT_OF.get(word)
-                if said and (kind in ("", "main") or said != "main"):
-                    kind = said
-    return kind, keep
+            for token in value.split():
+                token = NUMBER.sub("", re.sub("[_-]+", "-", token))
+                if token in HINT_OF:
+                    said[token] = HINT_OF[token]
+    if hidden:
+        return "hidden", keep
+    other = [kind for kind in said.values() if kind != "main"]
+    if own == "main":
+        remark = tag == "article" and len(other) == len(said) and not REMARKS.isdisjoint(said)
+        return "comment" if remark else "main", keep
+    if own:
+        return other[-1] if other else own, keep
+    return "main" if len(other) < len(said) else other[-1] if other else "", keep
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -143,8 +180,8 @@ def _read(page: str, open_ended: frozenset[int]) -> tuple[list[Block], frozenset
         if text:
             words = text.count(" ") + 1
             tags = [s[0] for s in stack if s[0] in BLOCK]
-            kinds = tuple(s[1] for s in stack if s[1])
-            out.append(Block(text, words, min(1.0, linked / words), tags[-1] if tags else "", kinds, any(s[2] for s in stack)))
+            around = tuple((s[3], s[1], s[0] in SURE or s[1] == "hidden") for s in stack if s[1])
+            out.append(Block(text, words, min(1.0, linked / words), tags[-1] if tags else "", around, any(s[2] for s in stack)))
         linked = 0
 
     def close(i: int, own: bool):
@@ -225,16 +262,41 @@ def _read(page: str, open_ended: frozenset[int]) -> tuple[list[Block], frozenset
     return out, frozenset(unclosed)
 
 
+def _wide(page_blocks: list[Block]) -> set[int]:
+    """The places of wrappers: elements with the name of another part around most unlinked
+    words of a page that has no main element outside such parts."""
+    weight: Counter[int] = Counter()
+    doubtful, total = set(), 0.0
+    for b in page_blocks:
+        own = b.words * (1 - b.density)
+        total += own
+        for place, kind, sure in b.around:
+            weight[place] += own
+            if kind != "main" and not sure:
+                doubtful.add(place)
+    wide: set[int] = set()
+    # From the outermost: what stands beside the main element of a wrapper is no wrapper.
+    for place in sorted(p for p in doubtful if weight[p] > WIDE * total):
+        free = (b for b in page_blocks if all(kind == "main" or at in wide for at, kind, _ in b.around))
+        if any("main" in b.kinds for b in free):
+            break
+        wide.add(place)
+    return wide
+
+
 def table(page_blocks: list[Block]) -> list[list[float]]:
     """One row of :data:`FEATURES` per block."""
     has_main = any("main" in b.kinds for b in page_blocks)
+    wide = _wide(page_blocks)
     rows = []
     for i, b in enumerate(page_blocks):
+        kinds = [kind for place, kind, _ in b.around if place not in wide]
         row = [
-            any(k not in ("main", "frame") for k in b.kinds),
-            "frame" in b.kinds,
-            "main" in b.kinds,
+            any(k not in ("main", "frame") for k in kinds),
+            "frame" in kinds,
+            "main" in kinds,
             has_main,
+            len(kinds) < len(b.around),
             b.tag in ("h1", "h2", "h3"),
             b.tag in ("li", "td", "th", "dt", "dd"),
             b.words,

@@ -106,3 +106,26 @@ def test_elements_without_text_end_where_they_end(middle, inside):
 
 def test_head_without_end_tag():
     assert [b.text for b in pages.blocks("<html><head><title>T</title>\n<body><p>One.</p>")] == ["One."]
+
+
+ARTICLE = f"<h1>Ice on the river</h1><p>{LONG}</p><p>Nobody came.</p><p>{LONG} {LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    "opening",
+    ['<article class="post category-more tag-sport">', '<div id="content" class="with-sidebar">', '<main class="has-banner share-on">',
+     '<article class="top">', '<article class="thread ad">', '<div class="content social">', '<div class="more"><article>',
+     *[f'<div class="{x}"><article>' for x in ("top", "form", "side", "tags", "social", "ad", "thread")],
+     *[f'<div class="{x}"><div id="content">' for x in ("top", "form", "side", "tags", "social", "ad", "thread")], "<form><main>"],
+)
+def test_names_of_wrappers_do_not_lose_the_article(tree, opening):
+    ends = "".join(f"</{tag}>" for tag in reversed(re.findall(r"<(\w+)", opening)))
+    page = f'<body><nav><a href="/">Home</a></nav>{opening}{ARTICLE}{ends}<div class="ad"><p>{LONG}</p></div><footer>{LONG}</footer></body>'
+    assert pages.main_text(page, tree) == f"Ice on the river\n{LONG}\nNobody came.\n{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("part", ["ad", "comments", "comment-list", "cookie_notice", "widget-3", "related-posts", "newsletter-signup"])
+def test_parts_stay_out_however_long(tree, part):
+    other = f'<div class="{part}"><p>{LONG} {LONG} {LONG}</p><article class="comment"><p>{LONG} {LONG}</p></article></div>'
+    for page in (f"<article>{ARTICLE}</article>{other}", f"<div class=thread><article>{ARTICLE}</article>{other}</div>"):
+        assert pages.main_text(page, tree) == f"Ice on the river\n{LONG}\nNobody came.\n{LONG} {LONG}"
