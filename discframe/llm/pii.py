@@ -1,7 +1,8 @@
 """Personal data in texts: patterns propose, checksums confirm, context scores.
 
 Every kind is a pattern whose matches are leftmost and do not overlap; a match that
-fails its check is dropped and not tried again from inside.
+fails its check is dropped and not tried again from inside.  Only account numbers
+are tried at more than one end, as capitals and digits may follow them after a blank.
 
 * ``email``, ``ip``, ``card`` (Luhn) and ``phone`` are the base kinds.  They are kept
   whatever stands around them; the context only moves their score.
@@ -32,7 +33,21 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Where an account number may start; :func:`ibans` looks for its end.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+IBAN_GROUPS = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+ALNUM = re.compile(r"[A-Za-z0-9]")
+#: Letters and digits of an account number by country.
+IBAN_LENGTHS = {
+    country: int(size)
+    for size, countries in (line.split(":") for line in (
+        "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV",
+        "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST",
+        "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HN HU LB NI PL SV", "29:BR EG PS QA UA",
+        "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+    ))
+    for country in countries.split()
+}
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -92,6 +107,29 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers, which end with a group of letters and digits.
+
+    Of every start the end that the country's length gives is tried, where the length is not
+    known all ends from the longest on, and at last the longest.
+    """
+    found, free = [], 0
+    for m in IBAN.finditer(text):
+        start = m.start()
+        groups = IBAN_GROUPS.match(text, start) if start >= free else None
+        if not groups:
+            continue
+        ends = [i + 1 for i in range(start + 14, groups.end()) if text[i] != " " and not ALNUM.match(text, i + 1)]
+        size = IBAN_LENGTHS.get(text[start : start + 2])
+        right = [e for e in ends if size in (None, e - start - text.count(" ", start, e))]
+        for end in (*reversed(right), *ends[-1:]):
+            if _is_iban(text[start:end]):
+                found.append((start, end))
+                free = end
+                break
+    return found
+
+
 def _digits(value: str) -> str:
     return "".join(c for c in value if "0" <= c <= "9")
 
@@ -123,7 +161,6 @@ PATTERNS: tuple[tuple[str, re.Pattern, Callable[[str], bool]], ...] = (
     ("ip", IP, _is_ip),
     ("card", CARD, _is_card),
     ("phone", PHONE, _is_phone),
-    ("iban", IBAN, _is_iban),
     ("national_id", NATIONAL, _is_national),
 )
 
@@ -141,6 +178,7 @@ def find_spans(text: str | None, *, reach: int = 40, least: float = 0.5) -> list
     proposed = [("email", a, b) for a, b in emails(text)]
     for kind, pattern, holds in PATTERNS:
         proposed += [(kind, *m.span()) for m in pattern.finditer(text) if holds(m[0])]
+    proposed += [("iban", a, b) for a, b in ibans(text)]
     spans = [Span(k, a, b, context_score(text, k, a, b, reach)) for k, a, b in proposed]
     kept = [s for s in spans if s.kind in BASE_KINDS or s.score >= least]
     return sorted(kept, key=lambda s: (s.start, KINDS.index(s.kind)))

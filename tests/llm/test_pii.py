@@ -66,3 +66,21 @@ def test_query(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
         for kind in ("email", "ip", "card", "phone"):
             assert r[f"n_{kind}"] == sum(x.startswith(kind) for x in want)
+
+
+def test_iban_ends_before_what_follows():
+    compact, spaced, short = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    for code in (compact, spaced, short, "MT84MALT011000012345MTLCAST001S"):
+        for after in (" BIC COBADEFFXXX", " I said", " 2024", " 12 34 EUR", " EUR 100,00", " A B C D E F G H I J K L M N", "", ".", " bic", "\nBIC", "é"):
+            text = f"IBAN {code}{after}"
+            assert [(s.start, s.end) for s in find_spans(text) if s.kind == "iban"] == [(5, 5 + len(code))], text
+        for after in ("X", "x", "1"):
+            assert not [s for s in find_spans(f"IBAN {code}{after}") if s.kind == "iban"]
+        two = f"{code} {compact} {code}"
+        assert [s.start for s in find_spans(two) if s.kind == "iban"] == [0, len(code) + 1, len(code) + len(compact) + 2]
+    # A group before that only looks like a start does not hide the number.
+    assert [s.start for s in find_spans("AB12 CD34 DE89370400440532013000") if s.kind == "iban"] == [10]
+
+
+def test_many_iban_starts_stay_linear():
+    assert find_spans("DE12 " * 40_000) == []
