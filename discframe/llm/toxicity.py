@@ -6,8 +6,9 @@
 * **Lexicon.**  Words, and beginnings of words that several different words share, which
   toxic texts of the training rows have far more often than the others.  A weight is the
   log ratio of the two rates.  A beginning replaces the longer ones it explains.
-* **Exceptions.**  Phrases around a lexicon word that are harmless take its weight back:
-  those given by name, and those that only harmless training texts have.
+* **Exceptions.**  Phrases around a lexicon word that are harmless take the weight of this
+  word back, once and no more than it has: those given by name, and all that only harmless
+  training texts (*least_texts* of them or more) have.
 * **Score.**  A logistic curve over the summed weight, as it is and per square root of the
   number of words, fitted on the same rows.
 
@@ -68,12 +69,20 @@ class Lexicon:
     def automaton(self):
         import ahocorasick
 
-        made = ahocorasick.Automaton()
-        for pattern, weight in (*self.weights.items(), *((p, -w) for p, w in self.exceptions.items())):
-            made.add_word(pattern, (pattern, weight))
-        if len(made):
-            made.make_automaton()
-        return made
+        # Of a lexicon word: pattern, weight, nothing.  Of an exception: the pattern, what it
+        # takes back, and where in it the lexicon words start.
+        words = ahocorasick.Automaton()
+        for pattern, weight in self.weights.items():
+            words.add_word(pattern, (pattern, weight, ()))
+        if not len(words):
+            return words
+        words.make_automaton()
+        covered = {p: tuple({end - len(c) + 1 for end, (c, _, _) in words.iter(p)}) for p in self.exceptions}
+        for pattern, weight in self.exceptions.items():
+            if covered[pattern]:
+                words.add_word(pattern, (pattern, weight, covered[pattern]))
+        words.make_automaton()
+        return words
 
 
 def summed(automaton, text: str) -> tuple[float, int]:
@@ -82,15 +91,16 @@ def summed(automaton, text: str) -> tuple[float, int]:
         return 0.0, 0
     plain = folded(text)
     best: dict[int, float] = {}
-    back = 0.0
-    for end, (pattern, weight) in automaton.iter(plain):
-        if weight < 0:
-            back += weight
+    back: dict[int, float] = {}
+    for end, (pattern, weight, covered) in automaton.iter(plain):
+        start = end - len(pattern) + 1
+        if covered:
+            for at in covered:
+                back[start + at] = max(weight, back.get(start + at, 0.0))
         else:
             # A word counts once, with its heaviest pattern.
-            start = end - len(pattern) + 1
             best[start] = max(weight, best.get(start, 0.0))
-    return max(0.0, sum(best.values()) + back), plain.count(" ") - 1
+    return sum(max(0.0, w - back.get(at, 0.0)) for at, w in best.items()), plain.count(" ") - 1
 
 
 def inputs(weight: float, words: int) -> tuple[float, float]:
@@ -192,17 +202,19 @@ def _learned_exceptions(train: DataFrame, lexicon: Lexicon, least_texts: int) ->
             for text, label in zip(batch.column(0), batch.column(1)):
                 plain = folded(text.as_py() or "")
                 seen = {}
-                for end, (pattern, weight) in automaton.iter(plain) if len(automaton) else ():
-                    if weight < 0:
+                for end, (pattern, weight, covered) in automaton.iter(plain) if len(automaton) else ():
+                    if covered:
                         continue
                     start = end - len(pattern) + 1
                     close = plain.index(" ", start + 1)
                     after = plain.find(" ", close + 1)
                     before = plain.rfind(" ", 0, start)
                     if after > 0:
-                        seen[plain[start : after + 1]] = weight
+                        phrase = plain[start : after + 1]
+                        seen[phrase] = max(weight, seen.get(phrase, 0.0))
                     if before >= 0 and start > 0:
-                        seen[plain[before : close + 1]] = weight
+                        phrase = plain[before : close + 1]
+                        seen[phrase] = max(weight, seen.get(phrase, 0.0))
                 found += seen
                 weights += seen.values()
                 labels += [int(label.as_py())] * len(seen)
@@ -217,7 +229,7 @@ def _learned_exceptions(train: DataFrame, lexicon: Lexicon, least_texts: int) ->
     counted = train.select("text", "label").mapInArrow(phrases, "p string, label int, w double").groupBy("p")
     counted = counted.agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
     harmless = counted.filter((F.col("bad") == 0) & (F.col("n") >= least_texts))
-    return {r["p"]: r["w"] for r in harmless.orderBy(F.desc("n"), "p").limit(1000).collect()}
+    return {r["p"]: r["w"] for r in harmless.collect()}
 
 
 def _curve(train: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:

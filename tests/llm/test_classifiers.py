@@ -59,3 +59,20 @@ def test_no_labels(spark):
     none = none.withColumnRenamed("toxic", "quality")
     assert {r["score"] for r in cotraining.quality_scores(full, none).collect()} == {0.5}
     assert cotraining.quality_scores(full.limit(0), none).collect() == []
+
+
+def test_exceptions_touch_only_the_word_they_cover():
+    weights = {" trash ": 5.0, " scum": 4.0, " scum ": 3.0}
+    made = toxicity.Lexicon(weights, {" the trash ": 5.0, " trash can ": 5.0, " pond scum ": 4.0}).automaton()
+    for text, want in (
+        ("the trash can", 0), ("the trash can, you scum", 4), ("trash can trash", 5), ("the trash can of pond scum", 0),
+        ("pond scum and scum", 4), ("the trash can the trash can trash", 5), ("the can", 0),
+    ):
+        assert toxicity.summed(made, text)[0] == want, text
+
+
+def test_all_learnt_exceptions_count(spark):
+    text = " trash ".join(f"w{i}" for i in range(1500))
+    train = spark.createDataFrame([(text, 0), ("you trash", 1)], "text string, label int")
+    found = toxicity._learned_exceptions(train, toxicity.Lexicon({" trash ": 5.0}), 1)
+    assert len(found) == 2998 and set(found.values()) == {5.0}
