@@ -14,12 +14,14 @@ from discframe.session import shared_folder
 from discframe.streaming import jobs
 
 
-#: Files of the events arrive in any order, so rows may be late by the whole span of the table.
-DELAY = "4000 days"
+#: Files of the events arrive in order of time, and rows of one time in one file.
+DELAY = "1 minute"
+#: Rows of a file, about: what a key can have waiting is a few files.
+SLICE_ROWS = 200_000
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of several files, one per batch, and an end to it."""
+    """The events as a stream of files in order of time, one per batch, and an end to it."""
     events = b.table(spark, sf_dir, "events")
     stamp = F.col("ts").cast("timestamp")
     rows = events.select(
@@ -33,9 +35,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(False).alias("end"),
     )
     folder = f"{shared_folder(spark)}/discframe-streams/{uuid.uuid4().hex}"
-    rows.repartition(3, "event_id").write.parquet(folder)
-    ends = jobs.closing_rows(rows, "stream_id", "ts", DELAY)
-    ends.select(*rows.columns).coalesce(1).write.mode("append").parquet(folder)
+    slices = max(3, -(-rows.count() // SLICE_ROWS))
+    by_time = rows.repartitionByRange(slices, "ts").withColumn("slice", F.spark_partition_id())
+    by_time.write.partitionBy("slice").parquet(f"{folder}-slices")
+    sliced = spark.read.parquet(f"{folder}-slices")
+    # A stream takes the oldest file first, so each is written after the last one.
+    for (n,) in sorted(sliced.select("slice").distinct().collect()):
+        part = sliced.filter(F.col("slice") == n).select(*rows.columns)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    rows = sliced.select(*rows.columns)
+    ends = jobs.closing_rows(rows, "stream_id", "ts", DELAY).select(*rows.columns)
+    closing = ends.filter("end").repartition(max(1, -(-rows.select("stream_id").distinct().count() // SLICE_ROWS)))
+    closing.write.mode("append").parquet(folder)
+    # The row that moves the watermark past everything comes last.
+    ends.filter(F.col("end").isNull()).coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
