@@ -1,7 +1,9 @@
 """Jaccard join on word n-grams: size-banded tiles, bitmap bounds, exact intersections.
 
 Two texts link when the Jaccard similarity of their sets of *n*-word shingles reaches
-``num / den`` (75 / 100).  No link is lost and no group is expanded into all its pairs.
+``num / den`` (75 / 100).  Only the components of these links are exact: no link that joins two
+components is lost, but links between texts that are joined already are not looked for, so links
+are neither returned nor counted.  No group is expanded into all its pairs.
 
 1. **Sets.**  Equal texts are one text.  Texts are dealt to batches by a hash; a batch turns
    each text into a sorted array of 64-bit shingle hashes.  Equal sets are one node.
