@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discframe.llm import cotraining, mixing, ngram_join, pages, pii, quality, sharding, tokens, toxicity, winnow
+from discframe.llm import (
+    alignment,
+    cotraining,
+    mixing,
+    ngram_join,
+    packing,
+    pages,
+    pii,
+    quality,
+    sharding,
+    spelling,
+    tokens,
+    toxicity,
+    winnow,
+)
 from discframe.llm.common import read
 from discframe.session import configure
 
@@ -18,6 +32,7 @@ ORACLES: dict[str, str] = {}
 
 SHARD_BYTES = 1 << 20
 TOKEN_LIMIT = 512
+PACKED_TOKENS = 2048
 
 
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
@@ -104,3 +119,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("copies")
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(
+        read(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.PATTERN,
+    )
+
+
+@query("op12_best_fit_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(
+        read(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+        limits=packing.Limits(tokens=PACKED_TOKENS),
+        carry_ids=False,
+    )
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
