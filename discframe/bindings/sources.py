@@ -154,6 +154,7 @@ def _log_titles(spark, sf_dir):
         F.concat(F.lit("a,"), F.col("title_id").cast("string")).alias("segment_map"),
         F.when(F.col("title_idx") == 1, 'Disc "X"').alias("disc_name"),
         F.concat(F.lit("T"), F.col("title_id").cast("string")).alias("name"),
+        F.when(F.col("priority") < 4, F.col("priority") * 10 + F.col("title_idx")).alias("dvd_title_id"),
     )
 
 
@@ -182,14 +183,15 @@ def _(spark, sf_dir):
 m AS (SELECT disc_id, max(title_idx) AS last FROM facts GROUP BY 1),
 mt AS (SELECT title_id, max(pos) AS mp FROM streams GROUP BY 1),
 l AS (SELECT disc_id, -1 AS ti, 0 AS sec, 0 AS sub, '{{"schema_version":1,"titles":[' AS line FROM m
- UNION ALL SELECT disc_id, title_idx, 1, 0, '{{"index":' || title_idx || ',"name":"T' || title_id || '","duration_seconds":' || CAST(duration AS DOUBLE) || ',"size_bytes":' || bytes || ',"chapters":' || n_items
-   || ',"source_file":"' || printf('%05d.mpls', title_id % 1000) || '","segment_map":"a,' || title_id || '","streams":[' FROM facts
- UNION ALL SELECT disc_id, title_idx, 2, pos, '{{"index":' || pos || ',"type":"' || type || '","codec":"' || codec || '","language":"' || lang || '"}}' || CASE WHEN pos < mp THEN ',' ELSE '' END FROM streams JOIN facts USING (title_id) JOIN mt USING (title_id)
+ UNION ALL SELECT disc_id, title_idx, 1, 0, '{{"index":' || title_idx || ',"name":"T' || title_id || '","duration_seconds":' || round_even(CAST(duration AS DOUBLE), 3) || ',"size_bytes":' || bytes || ',"chapters":' || n_items
+   || ',"source_file":"' || printf('%05d.mpls', title_id % 1000) || '","segment_map":"a,' || title_id || '","dvd_title_id":' || CASE WHEN priority < 4 THEN CAST(priority * 10 + title_idx AS VARCHAR) ELSE 'null' END || ',"streams":[' FROM facts
+ UNION ALL SELECT disc_id, title_idx, 2, pos, '{{"index":' || pos || ',"type":"' || type || '","codec":"' || codec || '","language":"' || lang || '","title":' || CASE WHEN pid IS NULL THEN 'null' ELSE '"Track ' || pid || '"' END || '}}' || CASE WHEN pos < mp THEN ',' ELSE '' END FROM streams JOIN facts USING (title_id) JOIN mt USING (title_id)
  UNION ALL SELECT disc_id, title_idx, 3, 0, ']}}' || CASE WHEN title_idx < last THEN ',' ELSE '' END FROM facts JOIN m USING (disc_id)
  UNION ALL SELECT disc_id, last + 1, 4, 0, ']}}' FROM m)
 SELECT disc_id, CAST(row_number() OVER (PARTITION BY disc_id ORDER BY ti, sec, sub) - 1 AS INTEGER) AS line_no, line FROM l""")
 def _(spark, sf_dir):
-    return k.disc_manifest(_log_titles(spark, sf_dir), b.streams(spark, sf_dir))
+    tracks = b.streams(spark, sf_dir).withColumn("title", F.concat(F.lit("Track "), F.col("pid").cast("string")))
+    return k.disc_manifest(_log_titles(spark, sf_dir), tracks)
 
 
 _CUES = """c AS (SELECT *, lag(kind) OVER w AS prev, row_number() OVER w AS rn FROM tt WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),

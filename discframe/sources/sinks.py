@@ -100,7 +100,7 @@ def disc_manifest(titles: DataFrame, streams: DataFrame) -> DataFrame:
     """JSON manifest per disc as ordered lines: an object with one title per line.
 
     Concatenated, the lines of a disc are one JSON document; a title's streams are one
-    line each as well, so no line grows with the data.
+    line each as well, so no line grows with the data.  Unknown values are JSON nulls.
     """
     named = o.ordered(streams, "title_id", ["pos"], _rn=o.row_number())
     per_title = o.with_group(
@@ -116,12 +116,17 @@ def disc_manifest(titles: DataFrame, streams: DataFrame) -> DataFrame:
             F.col("n_chapters").alias("chapters"),
             F.col("source").alias("source_file"),
             "segment_map",
-        )
+            "dvd_title_id",
+        ),
+        {"ignoreNullFields": "false"},
     )
     # The title object stays open for its streams: drop the closing brace.
     opened = F.concat(F.substr(body, F.lit(1), F.length(body) - 1), F.lit(',"streams":['))
     more = F.when(F.col("title_idx") < F.col("_last"), ",").otherwise("")
-    track = F.to_json(F.struct((F.col("_rn") - 1).alias("index"), "type", "codec", F.col("lang").alias("language")))
+    track = F.to_json(
+        F.struct((F.col("_rn") - 1).alias("index"), "type", "codec", F.col("lang").alias("language"), "title"),
+        {"ignoreNullFields": "false"},
+    )
     comma = F.when(F.col("_rn") < F.col("_n"), ",").otherwise("")
 
     def rows(df: DataFrame, section: int, sub: Column, line: Column) -> DataFrame:
