@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -45,7 +47,8 @@ def group_rows(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder, as ``spark.checkpoint.dir`` names it.
 
-    A private folder is made only for a single-machine session where nothing is set.
+    A private folder is made only for a single-machine session where nothing is set, and
+    removed when this process ends.
     """
     context = spark.sparkContext
     folder = (
@@ -60,12 +63,17 @@ def shared_folder(spark: SparkSession) -> str:
     global _private_folder
     if _private_folder is None:
         _private_folder = tempfile.mkdtemp(prefix="discframe-")
+        atexit.register(shutil.rmtree, _private_folder, ignore_errors=True)
     return _private_folder
 
 
 _private_folder: str | None = None
 
 
+def _tables_of(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/discframe-tables/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """*df* written once as a table in the shared folder and read back.
 
@@ -74,6 +82,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     planner and let later steps prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/discframe-tables/{uuid.uuid4().hex}"
+    path = f"{_tables_of(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes the tables that ``cut_lineage`` wrote for this application.
+
+    Results that were built but not yet read become unreadable: call it when a job is done.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables_of(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -64,6 +65,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     import __spark_entry__ as entry
+    from discframe.session import drop_tables
 
     sf_dir = f"/root/testdata/{sys.argv[1]}"
     wanted = sys.argv[2:]
@@ -72,6 +74,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", os.environ.get("SHARED_FOLDER") or tempfile.mkdtemp(prefix="shared-"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -91,6 +94,7 @@ def main() -> None:
             ok, note, took = False, f"{type(error).__name__}: " + " | ".join(lines[:6])[:900], 0.0
         if not ok:
             bad.append(name)
+        drop_tables(spark)
         print(f"{'ok ' if ok else 'BAD'} {name} {took:.1f}s {note}", flush=True)
     print(f"{len(bad)} bad: {bad}")
 

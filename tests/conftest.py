@@ -10,8 +10,8 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from discframe.session import configure
+def spark(tmp_path_factory):
+    from discframe.session import configure, drop_tables
 
     session = (
         SparkSession.builder.master("local[8]")
@@ -19,10 +19,12 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
+    drop_tables(session)
     session.stop()
 
 
