@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from discframe.operators import heavy
 from discframe.operators import ordered as o
 
 # Full order of a line item inside its order; (l_orderkey, l_linenumber) repeats.
@@ -27,8 +28,31 @@ LINE_ORDER = [
 ]
 
 
+#: Columns that hold the same keys, for the sketches of heavy ones.
+DOMAINS = [
+    [("orders", "o_custkey"), ("customer", "c_custkey")],
+    [("orders", "o_orderkey"), ("lineitem", "l_orderkey")],
+    [("events", "user_id")],
+    [("conversations", "conv_id")],
+]
+_peaks: dict[tuple[str, str], dict[tuple[str, str], int]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table whose key columns carry their peaks (one sketch per table, folder and session)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    domains = [d for d in DOMAINS if any(n == name for n, _ in d)]
+    if not domains:
+        return df
+    # Domains that share tables are sketched together.
+    for _ in DOMAINS:
+        names = {n for d in domains for n, _ in d}
+        domains = [d for d in DOMAINS if any(n in names for n, _ in d)]
+    names = {n for d in domains for n, _ in d}
+    tag = (spark.sparkContext.applicationId, sf_dir, min(names))
+    if tag not in _peaks:
+        _peaks[tag] = heavy.peaks({n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}, domains)
+    return heavy.marked(df, {c: p for (n, c), p in _peaks[tag].items() if n == name})
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +126,16 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    df = table(spark, sf_dir, "pages").select(
         F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("group_id"),
         F.col("url").alias("path"),
         F.length("html").cast("long").alias("size"),
         "page_id",
     )
+    tag = (spark.sparkContext.applicationId, sf_dir, "files")
+    if tag not in _peaks:
+        _peaks[tag] = heavy.peaks({"files": df}, [[("files", "group_id")]])
+    return heavy.marked(df, {"group_id": _peaks[tag]["files", "group_id"]})
 
 
 _LINE_SORT = ", ".join(LINE_ORDER)
@@ -213,3 +241,17 @@ NOTABLE_SQL = """(n_video > 0 AND NOT looped AND CASE
     WHEN duration < {minimum} THEN false
     WHEN duration < {plain} THEN n_audio >= 2 OR n_sub >= 1 OR (n_audio = 1 AND n_known_audio = 1)
     ELSE n_audio > 0 END)"""
+
+
+def drift_sql(tails: str) -> str:
+    """Recursive CTE ``moved`` along the clip joins of *tails*: ``track, i, clip, ve, frame, ends, offs``."""
+    return f"""tl AS ({tails}),
+kept AS (SELECT track, 0 AS i, CAST(NULL AS BIGINT) AS clip, CAST(0 AS BIGINT) AS state, false AS dead, CAST(NULL AS BIGINT) AS drift, CAST(NULL AS BIGINT) AS cut_offset, CAST(NULL AS BIGINT) AS dropped FROM tl GROUP BY 1
+  UNION ALL
+  SELECT track, i, clip, state, dead OR abs(state) > frame / 2 + 900, CASE WHEN NOT dead THEN state END,
+    CASE WHEN NOT dead AND keep < len(ends) THEN list_min(list_transform(list_filter(list_zip(ends, offs), lambda x: x[1] >= ends[keep + 1]), lambda x: x[2])) END,
+    CASE WHEN NOT dead THEN CAST(len(ends) - keep AS BIGINT) END
+  FROM (SELECT *, CASE WHEN was THEN before ELSE before + ends[keep] + frame - ve END AS state, was AS dead FROM (
+    SELECT tl.track, tl.i, tl.clip, tl.ve, tl.frame, tl.ends, tl.offs, kept.state AS before, kept.dead AS was,
+      list_max(list_filter(range(1, len(ends) + 1), lambda k: k = 1 OR abs(kept.state + ends[k - 1] + frame - ve) >= abs(kept.state + ends[k] + frame - ve))) AS keep
+    FROM kept JOIN tl ON tl.track = kept.track AND tl.i = kept.i + 1)))"""

@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(key)`` sends a whole key to one task.  ``ordered``
 keeps that plan while every group is small (one shuffle, nothing else) and changes
 to a two-level plan when a group exceeds the limit:
 
-1. rows are counted; hot keys and the range of their order column come from one partial aggregate;
+1. whether a key is hot is known from a sketch of the base tables (``operators.heavy``); hot
+   keys and the range of their order column come from one partial aggregate;
 2. rows of a hot key get a block number by an equal-width split of that range, so
    blocks follow the order and the split is a pure function of the data;
 3. windows run inside ``(key, block)``;
@@ -12,7 +13,7 @@ to a two-level plan when a group exceeds the limit:
    across blocks and is joined back.
 
 The hot-key table has at most ``rows / limit`` rows and the block summary about
-twice that, which is what makes broadcasting them safe.
+twice that; whether they are broadcast is left to the planner, which sees their size.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from discframe.operators import heavy
 from discframe.session import cut_lineage, group_rows
 
 _memo: dict[tuple, bool] = {}
@@ -91,12 +93,15 @@ def next_after(expr: str | Column) -> Fn:
 
 
 def has_hot_group(df: DataFrame, key: list[str], limit: int) -> bool:
-    """Whether a group has more than *limit* rows, from counted rows.
+    """Whether a group may have more than *limit* rows.
 
-    Rows are counted first, with no column read; only a table of more than *limit* rows is
-    counted by key.  Answers are remembered per plan and key; they choose between two
-    plans with equal results.
+    Columns that carry a peak (``operators.heavy``) answer without a job.  Keys made on the
+    way carry none: for those rows are counted, and only a table of more than *limit* rows
+    is counted by key.  The answer chooses between two plans with equal results.
     """
+    most = heavy.peak(df, key)
+    if most is not None:
+        return most > limit
     keys = df.select(*key)
     tag = (df.sparkSession.sparkContext.applicationId, keys.semanticHash(), tuple(key), limit)
     if tag not in _memo:
@@ -110,7 +115,8 @@ def _number(df: DataFrame, column: Column) -> Column:
     if kind.startswith("timestamp"):
         return F.unix_micros(column.cast("timestamp")).cast("double")
     if kind == "string":
-        return F.ascii(column).cast("double")
+        # The first six bytes as one number: the order of UTF-8 strings.
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return column.cast("double")
 
 
@@ -138,13 +144,15 @@ def with_blocks(
     for digit, n in zip(digits, names):
         base = F.coalesce(F.col(f"{n}hi") - F.col(f"{n}lo"), F.lit(0.0)) + 1.0
         low = F.coalesce(F.col(f"{n}lo"), F.lit(0.0))
-        value = value * base + F.coalesce(digit - low, F.lit(0.0))
-        span = span * base
+        # Later columns count only while the number stays exact, so blocks follow the order.
+        exact = span * base < F.lit(float(1 << 52))
+        value = F.when(exact, value * base + F.coalesce(digit - low, F.lit(0.0))).otherwise(value)
+        span = F.when(exact, span * base).otherwise(span)
     blocks = F.ceil(F.col("__n") * 2 / F.lit(limit)).cast("double")
     spot = F.least(blocks - 1, F.floor(value * blocks / span))
     drops = ["__n", *[f"{n}{end}" for n in names for end in ("lo", "hi")]]
     return (
-        df.join(F.broadcast(hot), key, "left")
+        df.join(hot, key, "left")
         .withColumn(name, F.coalesce(spot.cast("long"), F.lit(0).cast("long")))
         .withColumn("__hot", F.col("__n").isNotNull())
         .drop(*drops)
@@ -293,7 +301,7 @@ def ordered(
             "__last": F.lead(F.lit(1), 1).over(window).isNull(),
         }
     )
-    joined = rows.join(F.broadcast(carried), [*key, "__blk"], "left")
+    joined = rows.join(carried, [*key, "__blk"], "left")
     done = joined.withColumns({n: _combine(f, n) for n, f in outputs.items()})
     return back(done.select(*df.columns, *outputs))
 
