@@ -166,7 +166,13 @@ def _(spark, sf_dir):
     return _run(spark, jobs.scan_vote_stream(frames, min_share=0.7), "complete")
 
 
-@query("x5_drift_stream")
+_EVENT_TAILS = """SELECT user_id AS track, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) AS clip,
+  8640 - CAST(json_extract(props, '$.k') AS BIGINT) * 10 AS ve, 2880 AS frame,
+  list_transform([0, 1, 2], lambda x: CAST(x * 2880 + CAST(round(value * 100) AS BIGINT) % 40 AS BIGINT)) AS ends, [CAST(0 AS BIGINT), 1, 2] AS offs FROM events"""
+
+
+@query("x5_drift_stream", f"""WITH RECURSIVE {b.drift_sql(_EVENT_TAILS)}
+SELECT track, clip, drift, cut_offset, dropped, dead AS failed FROM kept WHERE i > 0""")
 def _(spark, sf_dir):
     # Every event is one clip of its track, with three frames at its end.
     frames = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: (i * 2880 + F.col("pts") % 40).cast("long"))
@@ -178,6 +184,7 @@ def _(spark, sf_dir):
         F.lit(2880).cast("long").alias("frame"),
         frames.alias("pts"),
         F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: i.cast("long")).alias("offsets"),
+        "event_id",
         "end",
     )
-    return _run(spark, jobs.drift_stream(tails, delay=DELAY))
+    return _run(spark, jobs.drift_stream(tails, delay=DELAY, order=("clip", "event_id")))

@@ -57,7 +57,15 @@ def _(spark, sf_dir):
     return t.content_range(b.ticks(spark, sf_dir), F.col("stream_id") % 3 != 0, tolerance=10_000)
 
 
-@query("i4_seamless_trim")
+_TAILS = """SELECT *, row_number() OVER (PARTITION BY track ORDER BY clip) AS i FROM (
+  SELECT stream_id AS track, CAST(seq // 8 AS BIGINT) AS clip, CAST(max(fr) + 2880 - sum(pts % 7) * 100 AS BIGINT) AS ve, 2880 AS frame,
+    list(CAST(fr AS BIGINT) ORDER BY fr) AS ends, list(CAST(seq AS BIGINT) ORDER BY fr) AS offs
+  FROM (SELECT *, seq % 8 * 2880 + pts % 40 AS fr FROM ticks) GROUP BY 1, 2)
+  QUALIFY clip < max(clip) OVER (PARTITION BY track)"""
+
+
+@query("i4_seamless_trim", f"""WITH RECURSIVE {b.TICKS}, {b.drift_sql(_TAILS)}
+SELECT track, clip, drift, cut_offset, dropped, dead AS failed FROM kept WHERE i > 0""")
 def _(spark, sf_dir):
     clip = F.floor(F.col("seq") / 8)
     ticks = b.ticks(spark, sf_dir).withColumns({"clip": clip, "at": F.col("seq") % 8 * 2880 + F.col("pts") % 40})

@@ -6,6 +6,10 @@ limit is cut into ordered blocks that run in parallel: every block first runs fr
 an unknown start state, then only blocks whose true incoming state differs from the
 one they used run again, until nothing changes.  At that fixpoint every block used
 its predecessor's real end state, so the result equals the sequential fold.
+
+Recurrences whose steps compose do without rounds: given a :class:`Summary`, every block is
+summed up as a function from its incoming to its outgoing state, one row per block is
+walked along each key, and every block runs once from its true start.
 """
 
 from __future__ import annotations
@@ -25,6 +29,22 @@ from discframe.session import cut_lineage, group_rows
 Step = Callable[..., tuple[tuple, tuple]]
 
 
+class Summary:
+    """What a block of rows does to any state that enters it."""
+
+    def extend(self, *values) -> None:
+        """Adds the next row."""
+        raise NotImplementedError
+
+    def dumps(self) -> str:
+        raise NotImplementedError
+
+    @staticmethod
+    def leave(text: str, state: tuple | None) -> tuple:
+        """The state behind a block (as ``dumps`` wrote it) that *state* enters."""
+        raise NotImplementedError
+
+
 _ARROW = {
     T.LongType(): pa.int64(),
     T.IntegerType(): pa.int32(),
@@ -86,6 +106,76 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def _summed(summary: type[Summary], unit: list[str], read: list[str], schema: pa.Schema):
+    """One row per sorted block: what it does to a state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None
+        for batch in batches:
+            ended = []
+            for block, row in zip(_lists(batch, unit), _lists(batch, read)):
+                if block != current:
+                    if current is not None:
+                        ended.append((*current, held.dumps()))
+                    current, held = block, summary()
+                held.extend(*row)
+            yield _rows(ended, schema)
+        if current is not None:
+            yield _rows([(*current, held.dumps())], schema)
+
+    return run
+
+
+def _walked(summary: type[Summary], key: list[str], unit: list[str], schema: pa.Schema):
+    """The state that enters each block, along the sorted blocks of each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for group, block, text in zip(_lists(batch, key), _lists(batch, unit), batch.column("__does").to_pylist()):
+                if group != current:
+                    current, state = group, None
+                out.append((*block, None if state is None else json.dumps(state)))
+                state = summary.leave(text, state)
+            yield _rows(out, schema)
+
+    return run
+
+
+def _composed(summary, hot: DataFrame, key: list[str], unit: list[str], order: list[str], read: list[str], field) -> DataFrame:
+    """The state that enters each block, by what the blocks before it do."""
+
+    def kinds(name: str) -> T.StructType:
+        return T.StructType([*[field[c] for c in unit], T.StructField(name, T.StringType())])
+
+    def arrow(kind: T.StructType) -> pa.Schema:
+        return pa.schema([(f.name, _ARROW[f.dataType]) for f in kind.fields])
+
+    does, enters = kinds("__does"), kinds("__in")
+    placed = hot.repartition(*unit).sortWithinPartitions(*unit, *order)
+    summed = placed.mapInArrow(_summed(summary, unit, read, arrow(does)), does)
+    # A row per block from here on.
+    along = summed.repartition(*key).sortWithinPartitions(*unit)
+    return cut_lineage(along.mapInArrow(_walked(summary, key, unit, arrow(enters)), enters))
+
+
+def _settled(run_states, hot: DataFrame, key: list[str], unit: list[str]) -> DataFrame:
+    """The states that enter and leave each block, from guesses that are mended until they hold."""
+    states = cut_lineage(run_states(hot.withColumn("__in", F.lit(None).cast("string"))))
+    window = Window.partitionBy(*key).orderBy("__blk")
+    while True:
+        wanted = states.withColumn("__want", F.lag("__out", 1).over(window))
+        stale = wanted.filter(~F.col("__want").eqNullSafe(F.col("__in")))
+        stale = cut_lineage(stale.select(*unit, F.col("__want").alias("__in")))
+        if stale.isEmpty():
+            break
+        again = run_states(hot.join(stale, unit, "inner"))
+        kept = states.join(stale.select(*unit), unit, "left_anti")
+        states = cut_lineage(kept.unionByName(again))
+    return states
+
+
 def fold(
     df: DataFrame,
     key: str | list[str],
@@ -96,8 +186,12 @@ def fold(
     *,
     block_on: list[str | Column] | None = None,
     limit: int | None = None,
+    summary: type[Summary] | None = None,
 ) -> DataFrame:
-    """*df* plus *outputs* computed by *step* along *order* inside *key*."""
+    """*df* plus *outputs* computed by *step* along *order* inside *key*.
+
+    *summary* composes steps, where they do: hot groups then take three passes.
+    """
     key = [key] if isinstance(key, str) else list(key)
     limit = limit or group_rows(df.sparkSession)
     names = [name for name, _ in outputs]
@@ -129,20 +223,13 @@ def fold(
     # Only hot keys have more than one block, so the state table stays small:
     # one row per block.
     blocks = spread.filter(F.col("__blk") > 0).select(*key).distinct()
-    hot = spread.join(F.broadcast(blocks), key, "left_semi")
-    states = cut_lineage(run_states(hot.withColumn("__in", F.lit(None).cast("string"))))
-    window = Window.partitionBy(*key).orderBy("__blk")
-    while True:
-        wanted = states.withColumn("__want", F.lag("__out", 1).over(window))
-        stale = wanted.filter(~F.col("__want").eqNullSafe(F.col("__in")))
-        stale = cut_lineage(stale.select(*unit, F.col("__want").alias("__in")))
-        if stale.isEmpty():
-            break
-        again = run_states(hot.join(F.broadcast(stale), unit, "inner"))
-        kept = states.join(F.broadcast(stale.select(*unit)), unit, "left_anti")
-        states = cut_lineage(kept.unionByName(again))
+    hot = spread.join(blocks, key, "left_semi")
+    if summary is not None:
+        states = _composed(summary, hot, key, unit, order, read, field)
+    else:
+        states = _settled(run_states, hot, key, unit)
     rows = (
-        spread.join(F.broadcast(states.select(*unit, "__in")), unit, "left")
+        spread.join(states.select(*unit, "__in"), unit, "left")
         .select(*spread.columns, "__in")
         .repartition(*unit)
         .sortWithinPartitions(*unit, *order)

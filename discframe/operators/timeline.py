@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import math
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from discframe.operators import ordered as o
-from discframe.operators.fold import fold
+from discframe.operators.fold import Summary, fold
 from discframe.operators.joins import asof_interval
 from discframe.operators.sequence import islands, with_offsets
 
@@ -165,6 +169,73 @@ def join_drift_step(half_frame_slack: float):
     return step
 
 
+def join_drift_summary(half_frame_slack: float) -> type[Summary]:
+    """How a run of clip joins moves any drift that enters it.
+
+    One join adds a constant to the drift, another one in each of a few ranges: frames are
+    dropped while that brings it nearer to zero.  So does a run of joins: pieces ``(low, high,
+    add, dead)`` over the incoming drift.  Behind a join the living drifts are no more than
+    those of half a frame and the slack, which bounds the pieces.
+    """
+    far = 1 << 60
+
+    class JoinDrift(Summary):
+        def __init__(self):
+            self.pieces = [(-far, far, 0, False)]
+
+        def extend(self, video_end, frame, pts, offsets):
+            if video_end is None or not pts:
+                self.pieces = [(low, high, add, True) for low, high, add, _ in self.pieces]
+                return
+            ends = sorted(pts, reverse=True)
+            moves = [e + frame - video_end for e in ends]
+            # From the first repeated end on nothing is dropped.
+            last = next((i for i in range(len(ends) - 1) if ends[i] == ends[i + 1]), len(ends) - 1)
+            # The i-th frame goes where the drift is above this, twice.
+            above = [-(moves[i] + moves[i + 1]) for i in range(last)]
+            limit = math.floor(frame / 2 + half_frame_slack)
+            out: list[tuple[int, int, int, bool]] = []
+
+            def put(low, high, add, dead):
+                if low > high:
+                    return
+                if out and out[-1][2:] == (add, dead) and out[-1][1] + 1 == low:
+                    out[-1] = (out[-1][0], high, add, dead)
+                else:
+                    out.append((low, high, add, dead))
+
+            for low, high, add, dead in self.pieces:
+                if dead:
+                    put(low, high, add, True)
+                    continue
+                at = low
+                for i in range(bisect_left(above, 2 * (low + add)), last + 1):
+                    to = min(high, above[i] // 2 - add) if i < last else high
+                    if at <= to:
+                        moved = add + moves[i]
+                        put(at, min(to, -limit - 1 - moved), moved, True)
+                        put(max(at, -limit - moved), min(to, limit - moved), moved, False)
+                        put(max(at, limit + 1 - moved), to, moved, True)
+                        at = to + 1
+                    if at > high:
+                        break
+            self.pieces = out
+
+        def dumps(self):
+            return json.dumps(self.pieces)
+
+        @staticmethod
+        def leave(text, state):
+            drift, dead = state if state is not None else (0, False)
+            if dead:
+                return drift, True
+            pieces = json.loads(text)
+            _, _, add, dead = pieces[bisect_right(pieces, drift, key=lambda p: p[0]) - 1]
+            return drift + add, dead
+
+    return JoinDrift
+
+
 def seamless_trim(tails: DataFrame, tolerance: float = 0.010, key: str = "track") -> DataFrame:
     """Cut offset per clip join that keeps a track locked to the video.
 
@@ -180,8 +251,15 @@ def seamless_trim(tails: DataFrame, tolerance: float = 0.010, key: str = "track"
         ("dropped", T.LongType()),
         ("failed", T.BooleanType()),
     ]
+    slack = tolerance * 90_000
     return fold(
-        joins, key, ["clip"], ["video_end", "frame", "pts", "offsets"], join_drift_step(tolerance * 90_000), outputs
+        joins,
+        key,
+        ["clip"],
+        ["video_end", "frame", "pts", "offsets"],
+        join_drift_step(slack),
+        outputs,
+        summary=join_drift_summary(slack),
     )
 
 

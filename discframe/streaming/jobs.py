@@ -248,10 +248,12 @@ def scan_vote_stream(frames: DataFrame, key: str = "stream_id", min_frames: int
     return counted.withColumn("scan", vote_verdict(min_frames, min_share)).drop("_top", "_bottom")
 
 
-def drift_stream(tails: DataFrame, tolerance: float = 0.010, delay: str = DELAY, key: str = "track") -> DataFrame:
+def drift_stream(
+    tails: DataFrame, tolerance: float = 0.010, delay: str = DELAY, key: str = "track", order: tuple[str, ...] = ("clip",)
+) -> DataFrame:
     """Streaming drift trim: one row per clip join with its cut.
 
-    Tails: ``key, ts, clip, video_end, frame, pts array, offsets array``.
+    Tails: ``key, ts, clip, video_end, frame, pts array, offsets array``, in the order of *order*.
     """
     outputs = [
         ("drift", T.LongType()),
@@ -260,7 +262,7 @@ def drift_stream(tails: DataFrame, tolerance: float = 0.010, delay: str = DELAY,
         ("failed", T.BooleanType()),
     ]
     return fold_stream(
-        tails, key, "ts", ["clip"], ["video_end", "frame", "pts", "offsets"], ["clip"],
+        tails, key, "ts", list(order), ["video_end", "frame", "pts", "offsets"], ["clip"],
         join_drift_step(tolerance * 90_000), outputs, delay,
     )
 
