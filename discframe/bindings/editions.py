@@ -38,12 +38,17 @@ def _(spark, sf_dir):
     return e.dedup_titles(playlist_titles(spark, sf_dir), b.items(spark, sf_dir, 4))
 
 
-_EDGES = """st AS (SELECT disc_id, title_idx, max(duration) AS d, list(DISTINCT clip_id) AS clips FROM (SELECT di.disc_id, di.title_idx, t.duration, di.clip_id FROM di JOIN titles t USING (title_id)) GROUP BY 1, 2),
-ed AS (SELECT a.disc_id, a.title_idx AS u, b.title_idx AS v FROM st a JOIN st b ON a.disc_id = b.disc_id AND a.title_idx < b.title_idx
-  AND len(list_intersect(a.clips, b.clips)) >= 3 AND abs(a.d - b.d) <= 0.25 * greatest(a.d, b.d))"""
+_NOTABLE = b.NOTABLE_SQL.format(minimum=1200, plain=3000)
+_EDGES = f"""ca AS (SELECT disc_id, title_id, title_idx, duration AS d, CASE WHEN status = 'F' THEN priority END AS vts FROM facts WHERE n_items > 1 AND (status <> 'F' OR {_NOTABLE})),
+pc AS (SELECT disc_id, title_idx, d, vts, coalesce(CAST(vts AS VARCHAR), '') || ':' || clip_id AS clip, sum(duration) AS s FROM items JOIN ca USING (title_id) GROUP BY 1, 2, 3, 4, 5),
+tot AS (SELECT disc_id, title_idx, sum(s) AS total FROM pc GROUP BY 1, 2),
+pr AS (SELECT a.disc_id, a.title_idx AS u, b.title_idx AS v, any_value(a.vts IS NOT NULL AND b.vts IS NOT NULL) AS chains, count(*) AS shared, sum(b.s) AS footage
+  FROM pc a JOIN pc b ON a.disc_id = b.disc_id AND a.title_idx < b.title_idx AND a.clip = b.clip AND abs(a.d - b.d) <= 0.25 * greatest(a.d, b.d) GROUP BY 1, 2, 3),
+ed AS (SELECT pr.disc_id, u, v FROM pr JOIN tot x ON x.disc_id = pr.disc_id AND x.title_idx = u JOIN tot y ON y.disc_id = pr.disc_id AND y.title_idx = v
+  WHERE shared >= 3 AND (NOT chains OR footage >= 0.5 * least(x.total, y.total)))"""
 
 
-@query("c2_edition_groups", f"""WITH RECURSIVE {b.ITEMS}, {b.TITLES}, {_DI}, {_EDGES},
+@query("c2_edition_groups", f"""WITH RECURSIVE {b.CATALOG}, {b.facts_sql(0.9)}, {_EDGES},
 nb AS (SELECT s.disc_id, s.title_idx AS i, coalesce(list(v) FILTER (WHERE v IS NOT NULL), []) AS later FROM titles s LEFT JOIN ed ON ed.disc_id = s.disc_id AND ed.u = s.title_idx GROUP BY 1, 2),
 g AS (SELECT disc_id, -1 AS i, CAST([] AS INTEGER[]) AS taken, CAST([] AS INTEGER[]) AS found FROM (SELECT DISTINCT disc_id FROM titles)
   UNION ALL
@@ -53,8 +58,18 @@ g AS (SELECT disc_id, -1 AS i, CAST([] AS INTEGER[]) AS taken, CAST([] AS INTEGE
 SELECT disc_id, i AS head, i AS title_idx FROM g WHERE len(found) > 0
 UNION ALL SELECT disc_id, i AS head, unnest(found) AS title_idx FROM g WHERE len(found) > 0""")
 def _(spark, sf_dir):
-    titles = b.titles(spark, sf_dir)
-    return e.edition_groups(titles, b.items(spark, sf_dir))
+    # Finished orders are chains of the title set their priority names; the others are playlists.
+    facts = p.title_facts(b.titles(spark, sf_dir), b.streams(spark, sf_dir), b.items(spark, sf_dir))
+    chain = F.col("status") == "F"
+    titles = facts.withColumns(
+        {
+            "n_streams": F.col("n_items"),
+            "vts": F.when(chain, F.col("priority")),
+            "playlist_no": F.when(~chain, F.col("title_idx")),
+            "notable": p.notable_flag(F.lit(False), 1200, 3000),
+        }
+    )
+    return e.edition_groups(e.edition_candidates(titles), b.items(spark, sf_dir), share=(1, 2))
 
 
 def editions(spark, sf_dir):

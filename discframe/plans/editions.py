@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from discframe.operators import ordered as o
 from discframe.operators import sequence as s
-from discframe.operators.aggregate import layout_signature, set_signature
+from discframe.operators.aggregate import layout_signature
 from discframe.operators.fold import fold
-from discframe.operators.joins import _similar_pairs, asof_interval
+from discframe.operators.joins import asof_interval, micros
 from discframe.session import cut_lineage
 
 EPSILON = 1e-6
 SHARED_CLIPS = 3
-LENGTH_SHARE = 0.25
-CHAIN_SHARE = 0.10
+#: Fractions: durations within a quarter of the longer, chains with a tenth of the shorter in common.
+LENGTH_SHARE = (1, 4)
+CHAIN_SHARE = (1, 10)
 
 
 def dedup_titles(titles: DataFrame, items: DataFrame) -> DataFrame:
@@ -39,107 +44,122 @@ def dedup_titles(titles: DataFrame, items: DataFrame) -> DataFrame:
     return ranked.select("disc_id", "title_id", (F.col("_rn") - 1).alias("new_idx"), "copies")
 
 
-def edition_edges(
-    titles: DataFrame, items: DataFrame, k: int = SHARED_CLIPS, within: float = LENGTH_SHARE, share: float | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """``(members, edges)``: titles with their representative, and edges between those.
+def edition_candidates(titles: DataFrame) -> DataFrame:
+    """Titles that can be an edition: more than one stream, and a playlist or a notable chain.
 
-    Titles of one disc with the same clips and duration behave alike, so they collapse
-    first.  Edges join representatives (by ``title_idx``) sharing *k* clips within
-    *within* of the longer duration; with *share* (disc chains) the shared seconds must
-    also reach that part of the shorter one.
+    Titles: ``n_streams``, ``playlist_no`` (null for chains), ``vts`` (null for playlists),
+    ``notable``.  Playlists without items find no partner later.
     """
-    played = items.select("title_id", "clip_id", F.col("duration").alias("item_seconds"))
-    placed = cut_lineage(played.join(titles.select("disc_id", "title_id", "title_idx", "duration"), "title_id"))
-    signed = set_signature(placed, ["disc_id", "title_idx", "duration"], "clip_id")
-    same = ["disc_id", "n", "sig_a", "sig_b", "duration"]
-    members = o.with_group(signed.filter(F.col("n") >= k), same, rep=F.min("title_idx"))
-    members = cut_lineage(members.select("disc_id", "title_idx", "rep", "duration"))
-    reps = members.filter(F.col("title_idx") == F.col("rep")).select("disc_id", "title_idx", "duration")
-    rows = placed.join(reps.select("disc_id", "title_idx"), ["disc_id", "title_idx"], "left_semi")
-    pairs, _ = _similar_pairs(rows, "disc_id", "title_idx", "clip_id", k)
-    # Inside one signature group of different durations only one name survives above,
-    # so equal sets of other durations come back through the set representatives.
-    sets = set_signature(rows, ["disc_id", "title_idx"], "clip_id")
-    named = o.with_group(sets, ["disc_id", "n", "sig_a", "sig_b"], _set=F.min("title_idx")).select(
-        "disc_id", "title_idx", "_set"
-    )
-    linked = pairs.select("disc_id", "a", "b").unionByName(
-        named.select("disc_id", F.col("_set").alias("a"), F.col("_set").alias("b")).distinct()
-    )
-    left = named.join(reps, ["disc_id", "title_idx"]).select(
-        "disc_id", F.col("_set").alias("a"), F.col("title_idx").alias("u"), F.col("duration").alias("du")
-    )
-    right = left.select("disc_id", F.col("a").alias("b"), F.col("u").alias("v"), F.col("du").alias("dv"))
-    near = F.abs(F.col("du") - F.col("dv")) <= F.lit(within) * F.greatest("du", "dv")
-    edges = linked.join(left, ["disc_id", "a"]).join(right, ["disc_id", "b"]).filter(near & (F.col("u") != F.col("v")))
-    edges = edges.select(
-        "disc_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-    ).distinct()
-    if share is not None:
-        edges = _enough_footage(edges, rows, share)
-    return members, edges
-
-
-def _enough_footage(edges: DataFrame, rows: DataFrame, share: float) -> DataFrame:
-    """Edges whose later title plays *share* of the shorter runtime from shared clips."""
-    seconds = rows.groupBy("disc_id", "title_idx", "clip_id").agg(F.sum("item_seconds").alias("_s"))
-    total = rows.groupBy("disc_id", "title_idx").agg(F.sum("item_seconds").alias("_t"))
-    early = seconds.select("disc_id", F.col("title_idx").alias("u"), "clip_id")
-    late = seconds.select("disc_id", F.col("title_idx").alias("v"), "clip_id", "_s")
-    shared = (
-        edges.join(late, ["disc_id", "v"]).join(early, ["disc_id", "u", "clip_id"]).groupBy("disc_id", "u", "v").agg(F.sum("_s").alias("_s"))
-    )
-    first = total.select("disc_id", F.col("title_idx").alias("u"), F.col("_t").alias("_tu"))
-    second = total.select("disc_id", F.col("title_idx").alias("v"), F.col("_t").alias("_tv"))
-    sized = shared.join(first, ["disc_id", "u"]).join(second, ["disc_id", "v"])
-    return sized.filter(F.col("_s") >= F.lit(share) * F.least("_tu", "_tv")).select("disc_id", "u", "v")
+    chain = F.col("vts").isNotNull() & F.col("notable")
+    return titles.filter((F.col("n_streams") > 1) & (F.col("playlist_no").isNotNull() | chain))
 
 
-def greedy_heads(edges: DataFrame) -> DataFrame:
-    """Greedy grouping by head in list order: ``disc_id, title_idx, head``.
+class GreedyHeads:
+    """Heads of one disc so far; titles come in list order and find the first head that takes them.
 
-    Sequentially, the first free title becomes a head and takes its free neighbours.
-    The same result in parallel rounds: with every earlier neighbour taken, a title is a
-    head; when its first earlier neighbour not taken is a head, it belongs to that one;
-    otherwise it waits.  Every round decides at least the first waiting title of each
-    disc; rounds are cut with reliable checkpoints.
+    A title's clips come rare ones first.  Sets that share *k* clips share one of the first
+    ``size - k + 1`` of each, so heads stand under these alone, in lists sorted by duration:
+    a title searches the lists of its own first clips within the durations that can match.
     """
-    earlier = cut_lineage(edges)
-    nodes = earlier.select("disc_id", F.col("u").alias("x")).unionByName(
-        earlier.select("disc_id", F.col("v").alias("x"))
-    )
-    states = cut_lineage(nodes.distinct().withColumn("head", F.lit(None).cast("int")))
-    while True:
-        known = states.select("disc_id", F.col("x").alias("u"), F.col("head").alias("_h"))
-        # A taken neighbour has another head; heads carry their own number.
-        open_edges = earlier.join(known, ["disc_id", "u"]).filter(
-            F.col("_h").isNull() | (F.col("_h") == F.col("u"))
-        )
-        first = open_edges.groupBy("disc_id", F.col("v").alias("x")).agg(
-            F.min(F.struct("u", F.col("_h").isNotNull().alias("sure"))).alias("_first")
-        )
-        decided = (
-            F.when(F.col("head").isNotNull(), F.col("head"))
-            .when(F.col("_first").isNull(), F.col("x"))
-            .when(F.col("_first.sure"), F.col("_first.u"))
-        )
-        states = cut_lineage(
-            states.join(first, ["disc_id", "x"], "left").select("disc_id", "x", decided.cast("int").alias("head"))
-        )
-        if states.filter(F.col("head").isNull()).isEmpty():
-            return states.withColumnRenamed("x", "title_idx")
+
+    def __init__(self, k: int, within: tuple[int, int], share: tuple[int, int]):
+        self.k, self.within, self.share = k, within, share
+        self.heads: list[tuple] = []
+        self.under: dict[str, list[tuple[int, int]]] = {}
+        #: Heads looked at; the tests hold it against the number of titles.
+        self.looked_at = 0
+
+    def place(self, title: int, duration: int, chain: bool, clips: list[str], seconds: list[int]) -> int:
+        """The head of *title*: the first one that takes it, or itself."""
+        num, den = self.within
+        prefix = clips[: len(clips) - self.k + 1]
+        low, high = duration * (den - num) // den, -(-duration * den // (den - num))
+        near = set()
+        for clip in prefix:
+            listed = self.under.get(clip, ())
+            for _, h in listed[bisect_left(listed, (low, -1)) : bisect_right(listed, (high, len(self.heads)))]:
+                near.add(h)
+        played, total = dict(zip(clips, seconds)), sum(seconds)
+        for h in sorted(near):
+            self.looked_at += 1
+            name, other, other_chain, other_clips, other_total = self.heads[h]
+            if abs(duration - other) * den > num * max(duration, other):
+                continue
+            shared = played.keys() & other_clips
+            if len(shared) < self.k:
+                continue
+            if chain and other_chain:
+                footage = sum(played[c] for c in shared)
+                if footage * self.share[1] < self.share[0] * min(total, other_total):
+                    continue
+            return name
+        for clip in prefix:
+            insort(self.under.setdefault(clip, []), (duration, len(self.heads)))
+        self.heads.append((title, duration, chain, frozenset(clips), total))
+        return title
 
 
 def edition_groups(
-    titles: DataFrame, items: DataFrame, k: int = SHARED_CLIPS, within: float = LENGTH_SHARE, share: float | None = None
+    titles: DataFrame,
+    items: DataFrame,
+    k: int = SHARED_CLIPS,
+    within: tuple[int, int] = LENGTH_SHARE,
+    share: tuple[int, int] = CHAIN_SHARE,
 ) -> DataFrame:
-    """Groups of titles that look like editions of one film: ``disc_id, head, title_idx``."""
-    members, edges = edition_edges(titles, items, k, within, share)
-    heads = greedy_heads(edges).withColumnRenamed("title_idx", "rep")
-    placed = members.join(heads, ["disc_id", "rep"], "left").withColumn("head", F.coalesce("head", "rep"))
-    sized = o.with_group(placed, ["disc_id", "head"], _n=F.count(F.lit(1)))
-    return sized.filter(F.col("_n") > 1).select("disc_id", "head", "title_idx")
+    """Groups of titles that look like editions of one film: ``disc_id, head, title_idx``.
+
+    In list order, a title joins the first head with *k* of its clips and a duration within
+    *within* (a fraction of the longer one), or becomes a head.  Titles with a ``vts`` (if
+    there is such a column) are chains: their clips are those of their title set, and two
+    chains must also share the fraction *share* of the shorter one's seconds.
+
+    The choice is sequential by definition (a title waits for all heads before it), so a
+    disc is decided in one stream of its rows.  Alike titles (duration, clips and their
+    seconds) are decided once, before rows meet; only heads are kept in memory.  A fixed
+    number of shuffles, no rounds.
+    """
+    if "vts" not in titles.columns:
+        titles = titles.withColumn("vts", F.lit(None).cast("int"))
+    played = items.groupBy("title_id", "clip_id").agg(F.sum(micros("duration")).alias("s"))
+    named = titles.filter(F.col("duration").isNotNull()).select(
+        "disc_id", "title_id", "title_idx", micros("duration").alias("d"), "vts"
+    )
+    clip = F.concat_ws(":", F.coalesce(F.col("vts").cast("string"), F.lit("")), F.col("clip_id").cast("string"))
+    rows = played.join(named, "title_id").select(
+        "disc_id", "title_idx", "d", F.col("vts").isNotNull().alias("chain"), clip.alias("clip"), "s"
+    )
+    rows = cut_lineage(rows)
+    common = rows.groupBy("disc_id", "clip").agg(F.count(F.lit(1)).alias("f"))
+    # A clip of one title alone cannot be shared, but stands first in the order like any rare one.
+    sets = (
+        rows.join(common, ["disc_id", "clip"])
+        .groupBy("disc_id", "title_idx", "d", "chain")
+        .agg(F.sort_array(F.collect_list(F.struct("f", "clip", "s"))).alias("c"))
+        .filter(F.size("c") >= k)
+    )
+    alike = F.sha2(F.to_json("c"), 256)
+    signed = cut_lineage(sets.select("disc_id", "title_idx", "d", "chain", alike.alias("alike"), "c"))
+    same = ["disc_id", "d", "chain", "alike"]
+    reps = signed.groupBy(*same).agg(F.min_by(F.struct("title_idx", "c"), "title_idx").alias("r"))
+    reps = reps.select(*same, F.col("r.title_idx").alias("rep"), F.col("r.c").alias("c"))
+    schema = T.StructType([*[reps.schema[c] for c in same], T.StructField("head", reps.schema["rep"].dataType)])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disc, state = None, None
+        for batch in batches:
+            heads = []
+            for now, d, chain, rep, clips in zip(*(batch.column(n).to_pylist() for n in ("disc_id", "d", "chain", "rep", "c"))):
+                if state is None or now != disc:
+                    disc, state = now, GreedyHeads(k, within, share)
+                heads.append(state.place(rep, d, chain, [x["clip"] for x in clips], [x["s"] for x in clips]))
+            head = pa.array(heads, batch.schema.field("rep").type)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in same], head], [*same, "head"])
+
+    decided = reps.repartition("disc_id").sortWithinPartitions("disc_id", "rep").mapInArrow(decide, schema)
+    heads = cut_lineage(decided)
+    placed = signed.select(*same, "title_idx").join(heads, same).select("disc_id", "head", "title_idx")
+    others = placed.filter(F.col("head") != F.col("title_idx"))
+    return others.unionByName(others.select("disc_id", "head", F.col("head").alias("title_idx")).distinct())
 
 
 # --- combining ------------------------------------------------------------------------
