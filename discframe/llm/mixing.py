@@ -4,17 +4,20 @@
    step works on histograms: their rows are distinct sizes, not documents.
 2. Targets: every source gets its weight's share of the whole budget, held at
    *most_copies* times its own size; what is above is shared again by weight.
-3. A source takes every document ``target // size`` times.  The rest of its budget is a
-   subset sum over the histogram: each size gives the same fraction of its documents, the
-   longest still free close the gap down to *exact_words*, and a bounded-knapsack table
-   over the remaining words finds counts per size that meet it (or come nearest below).
+3. A source's budget is a subset sum over its histogram, with up to *most_copies* copies of
+   each document: each size gives its proportional share, the longest still free close the
+   gap down to *exact_words*, and a bounded-knapsack table over the remaining words finds
+   counts per size that come nearest, on either side.  A small source whose shares leave no
+   exact sum is searched again with less of them settled.
 4. Of each size, as many documents as the counts say are chosen by a seeded hash.  Ranks
    are taken inside hash slices and shifted by the slices before, so one source or one
    size with a third of all rows is still spread.
 
 Nulls: a null text has no words, a null source is a source of its own and comes last, a
 null key is hashed like a value.  Equal rows are interchangeable.  Empty tables give empty
-results.  Same rows and seed, same choice.
+results.  Very long texts are counted whole.  Columns that are not carried are not read, whatever
+they are called; carried ones keep their names.  Of two sums as near, the lower one is taken.
+Same rows and seed, same choice.
 """
 
 from __future__ import annotations
@@ -34,55 +37,60 @@ SLICES = 1024
 
 
 def water_fill(sizes: list[int], weights: list[float], budget: float, most: float) -> list[float]:
-    """Shares of *budget* by weight, none above *most* times its size."""
+    """Shares of *budget* by weight, none above *most* times its size.
+
+    Sources fill up in the order of what they hold per weight, so one pass over that order
+    finds all that are full.
+    """
     targets = [0.0] * len(sizes)
-    open_ = list(range(len(sizes)))
-    left = budget
-    while open_:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = left * weights[i] / total
+    order = sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i])
+    left, total = budget, sum(weights)
+    for at, i in enumerate(order):
+        if left * weights[i] / total <= most * sizes[i]:
+            for j in order[at:]:
+                targets[j] = left * weights[j] / total
             break
-        for i in full:
-            targets[i] = float(most * sizes[i])
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in full]
+        targets[i] = float(most * sizes[i])
+        left -= targets[i]
+        total -= weights[i]
     return targets
 
 
-def subset_sum(sizes: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
-    """Counts per size (at most *counts*) whose words meet *goal* or come nearest below.
+def subset_sum(sizes: np.ndarray, counts: np.ndarray, aim: float, above: int = 0) -> np.ndarray:
+    """Counts per size (at most *counts*) whose words come nearest to *aim* (below, of two as near).
 
-    One pass per size over the sums 0..goal: a sum is new if a sum reached before lies a
-    whole number of this size below it, and not more of them than there are documents.
+    Sums may exceed it by *above*.  One pass per size over the sums: a sum is new if a
+    sum reached before lies a whole number of this size below it, and not more of them than
+    there are documents.
     """
     taken = np.zeros(len(sizes), dtype=np.int64)
+    goal = round(aim)
+    top = goal + above
     if goal <= 0:
         return taken
-    reached = np.zeros(goal + 1, dtype=bool)
+    reached = np.zeros(top + 1, dtype=bool)
     reached[0] = True
-    by = np.full(goal + 1, -1, dtype=np.int64)
-    times = np.zeros(goal + 1, dtype=np.int64)
+    by = np.full(top + 1, -1, dtype=np.int64)
+    times = np.zeros(top + 1, dtype=np.int64)
     for j in np.argsort(sizes, kind="stable"):
         size, most = int(sizes[j]), int(counts[j])
-        if size <= 0 or most <= 0 or size > goal:
+        if size <= 0 or most <= 0 or size > top:
             continue
-        depth = -(-(goal + 1) // size)
+        depth = -(-(top + 1) // size)
         flat = np.zeros(depth * size, dtype=bool)
-        flat[: goal + 1] = reached
+        flat[: top + 1] = reached
         grid = flat.reshape(depth, size)
         step = np.arange(depth)[:, None]
         last = np.maximum.accumulate(np.where(grid, step, -1), axis=0)
-        need = np.where(last >= 0, step - last, most + 1).reshape(-1)[: goal + 1]
+        need = np.where(last >= 0, step - last, most + 1).reshape(-1)[: top + 1]
         new = ~reached & (need <= most)
         by[new] = j
         times[new] = need[new]
         reached |= new
         if reached[goal]:
             break
-    at = int(np.nonzero(reached)[0].max())
+    sums = np.nonzero(reached)[0]
+    at = int(sums[np.argmin(np.abs(sums - aim))])
     while at:
         j, k = int(by[at]), int(times[at])
         taken[j] += k
@@ -90,23 +98,44 @@ def subset_sum(sizes: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
     return taken
 
 
-def counts_by_size(sizes: np.ndarray, counts: np.ndarray, budget: int, exact_words: int) -> np.ndarray:
-    """How many documents of each size to take once more so that their words meet *budget*."""
-    total = int((sizes * counts).sum())
-    if budget <= 0 or total == 0:
-        return np.zeros(len(sizes), dtype=np.int64)
-    taken = np.floor(counts * min(1.0, budget / total)).astype(np.int64)
-    taken[sizes <= 0] = 0
-    left = budget - int((taken * sizes).sum())
-    for j in np.argsort(-sizes, kind="stable"):
-        if left <= exact_words:
+#: Parts of the proportional share that are settled before the exact sum, tried in turn.
+SETTLED = (1.0, 0.75, 0.5, 0.0)
+
+
+def copies_by_size(sizes: np.ndarray, counts: np.ndarray, target: float, most: int, exact_words: int) -> np.ndarray:
+    """How often each size's documents stand in the mix, *most* times each at most, so that
+    their words come nearest to *target*.
+
+    Every size first gets a part of its proportional share; the rest is a subset sum over
+    the copies still free.  Where that misses by a word or more, a smaller part is tried, so
+    small sources are searched in full and large ones keep their proportions.
+    """
+    total, goal = int((sizes * counts).sum()), round(target)
+    best = np.zeros(len(sizes), dtype=np.int64)
+    if goal <= 0 or total == 0:
+        return best
+    room = np.where(sizes > 0, counts * most, 0)
+    miss = None
+    for part in SETTLED:
+        taken = np.minimum(np.floor(counts * (part * target / total)).astype(np.int64), room)
+        left = goal - int((taken * sizes).sum())
+        for j in np.argsort(-sizes, kind="stable"):
+            if left <= exact_words:
+                break
+            size = int(sizes[j])
+            if size > 0:
+                more = min(int(room[j] - taken[j]), left // size, -(-(left - exact_words) // size))
+                taken[j] += more
+                left -= more * size
+        if left > exact_words:
+            continue
+        taken = taken + subset_sum(sizes, room - taken, target - goal + left, min(int(sizes.max()), exact_words))
+        off = abs(int((taken * sizes).sum()) - target)
+        if miss is None or off < miss:
+            best, miss = taken, off
+        if miss < 1:
             break
-        size = int(sizes[j])
-        if size > 0:
-            more = min(int(counts[j] - taken[j]), left // size, -(-(left - exact_words) // size))
-            taken[j] += more
-            left -= more * size
-    return taken + subset_sum(sizes, counts - taken, min(left, exact_words))
+    return best
 
 
 def mix(
@@ -160,9 +189,8 @@ def mix(
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         size, count = group["__size"].to_numpy(np.int64), group["__count"].to_numpy(np.int64)
-        whole, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
-        every = math.floor(target / whole) if whole else 0
-        extra = counts_by_size(size, count, round(target) - every * whole, exact_words)
+        copies = copies_by_size(size, count, float(group["target"].iloc[0]), math.floor(most_copies), exact_words)
+        every, extra = np.divmod(copies, count)
         return pd.DataFrame({"__at": group["__at"], "__size": size, "__every": every, "__extra": extra})
 
     chosen = (

@@ -30,6 +30,31 @@ def test_subset_sum_finds_the_best():
         assert (got <= counts).all() and int((got * sizes).sum()) == best
 
 
+def test_subset_sum_looks_above():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = np.array(sorted({rng.randrange(1, 12) for _ in range(3)}))
+        counts = np.array([rng.randrange(0, 4) for _ in sizes])
+        goal, above = rng.randrange(1, 40), rng.randrange(0, 12)
+        sums = {int((np.array(c) * sizes).sum()) for c in itertools.product(*[range(n + 1) for n in counts])}
+        got = int((mixing.subset_sum(sizes, counts, goal, above) * sizes).sum())
+        assert got in sums and abs(got - goal) == min(abs(s - goal) for s in sums if s <= goal + above)
+
+
+def test_copies_of_a_small_source_come_nearest():
+    rng = random.Random(6)
+    for _ in range(150):
+        sizes = np.array(sorted({rng.randrange(1, 400) for _ in range(5)}))
+        counts = np.array([rng.randrange(1, 3) for _ in sizes])
+        total = int((sizes * counts).sum())
+        target = rng.random() * 2 * total
+        got = mixing.copies_by_size(sizes, counts, target, 2, 50_000)
+        assert (got <= 2 * counts).all() and (got >= 0).all()
+        sums = {int((np.array(c) * sizes).sum()) for c in itertools.product(*[range(2 * n + 1) for n in counts])}
+        near = min(abs(s - target) for s in sums)
+        assert abs(int((got * sizes).sum()) - target) <= max(near, 1.0)
+
+
 def docs_of(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(0, 50), rng.choice(["a", "b", "é", None]), i) for i in range(400)]
