@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from discframe.llm.common import id_field
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(?:>|\Z)""", re.DOTALL
 )
 #: One attribute of a tag: its whole name and, if it has one, its value with the quotes.
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
@@ -60,6 +60,8 @@ CLOSES = {
     "select": {"select", "option"},
     "body": {"head", "p"},
 } | {tag: {"p"} for tag in BLOCK if tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "body")}
+#: Elements at which the search for one to close may end.
+MARKED = BLOCK | MUTE | {"optgroup"}
 # The end tags of an option and of the head may be missing.
 CLOSES |= {tag: gone | {"option", "head"} for tag, gone in CLOSES.items() if tag in BLOCK}
 
@@ -165,13 +167,19 @@ def _read(page: str, open_ended: frozenset[int]) -> tuple[list[Block], frozenset
     """The blocks, and the places of :data:`MUTE` elements without an end of their own;
     those at the places *open_ended* are read like any other element."""
     out: list[Block] = []
-    # Name, kind, mark and place of the open elements; whether they are mute.
-    stack: list[tuple[str, str, bool, int, bool]] = []
+    # Name, kind, mark and place of the open elements; whether they are mute, and how many
+    # of those below are.
+    stack: list[tuple[str, str, bool, int, bool, int]] = []
+    # The same by what is asked of them: how many of a name, places in the stack, blocks, kinds.
+    named: Counter[str] = Counter()
+    marks: list[int] = []
+    tags: list[str] = []
+    around: list[tuple[int, str, bool]] = []
     parts: list[str] = []
     unclosed: set[int] = set()
     endless: set[str] = set()
     linked = 0
-    links = mute = 0
+    links = mute = kept = 0
 
     def flush():
         nonlocal linked
@@ -179,17 +187,38 @@ def _read(page: str, open_ended: frozenset[int]) -> tuple[list[Block], frozenset
         parts.clear()
         if text:
             words = text.count(" ") + 1
-            tags = [s[0] for s in stack if s[0] in BLOCK]
-            around = tuple((s[3], s[1], s[0] in SURE or s[1] == "hidden") for s in stack if s[1])
-            out.append(Block(text, words, min(1.0, linked / words), tags[-1] if tags else "", around, any(s[2] for s in stack)))
+            out.append(Block(text, words, min(1.0, linked / words), tags[-1] if tags else "", tuple(around), kept > 0))
         linked = 0
 
+    def open_(tag: str, attributes: str, place: int, silent: bool):
+        nonlocal links, mute, kept
+        kind, keep = _kinds(tag, attributes)
+        stack.append((tag, kind, keep, place, silent, mute))
+        named[tag] += 1
+        if tag in MARKED:
+            marks.append(len(stack) - 1)
+        if tag in BLOCK:
+            tags.append(tag)
+        if kind:
+            around.append((place, kind, tag in SURE or kind == "hidden"))
+        links += tag == "a"
+        mute += silent
+        kept += keep
+
     def close(i: int, own: bool):
         """Ends the open elements from *i* on; *own* by the end tag of the first of them."""
-        nonlocal links, mute
-        for at, (name, _, _, place, silent) in enumerate(stack[i:], i):
+        nonlocal links, mute, kept
+        for at, (name, kind, keep, place, silent, _) in enumerate(stack[i:], i):
+            named[name] -= 1
             links -= name == "a"
             mute -= silent
+            kept -= keep
+            if name in MARKED:
+                marks.pop()
+            if name in BLOCK:
+                tags.pop()
+            if kind:
+                around.pop()
             if silent and name != "option" and not (own and at == i):
                 unclosed.add(place)
         del stack[i:]
@@ -214,9 +243,10 @@ def _read(page: str, open_ended: frozenset[int]) -> tuple[list[Block], frozenset
         if not tag:
             continue
         if page[start + 1] == "/":
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if i is not None:
-                if tag in BLOCK and not any(s[4] for s in stack[:i]):
+            if named[tag]:
+                # What is searched here is closed, so the search is paid for once.
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                if tag in BLOCK and not stack[i][5]:
                     flush()
                 close(i, True)
             elif tag == "p" and not mute:
@@ -226,7 +256,7 @@ def _read(page: str, open_ended: frozenset[int]) -> tuple[list[Block], frozenset
             if tag in ("br", "hr", "img"):
                 parts.append(" ")
             continue
-        if page[at - 2 : at] == "/>" and (tag in ("svg", "math") or any(s[0] in ("svg", "math") for s in stack)):
+        if page[at - 2 : at] == "/>" and (tag in ("svg", "math") or named["svg"] or named["math"]):
             parts.append(" ")
             continue
         if tag in RAW:
@@ -240,9 +270,9 @@ def _read(page: str, open_ended: frozenset[int]) -> tuple[list[Block], frozenset
             else:
                 at = end
             continue
-        for i in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
+        for i in reversed(marks) if tag in CLOSES else ():
             if stack[i][0] in CLOSES[tag]:
-                if tag in BLOCK and not any(s[4] for s in stack[:i]):
+                if tag in BLOCK and not stack[i][5]:
                     flush()
                 # The end tag of the head may be missing, that of a button or select may not.
                 close(i, stack[i][0] == "head")
@@ -254,9 +284,7 @@ def _read(page: str, open_ended: frozenset[int]) -> tuple[list[Block], frozenset
         silent = tag in MUTE and start not in open_ended
         if silent:
             parts.append(" ")
-        stack.append((tag, *_kinds(tag, found[2]), start, silent))
-        links += tag == "a"
-        mute += silent
+        open_(tag, found[2], start, silent)
     flush()
     close(0, False)
     return out, frozenset(unclosed)
