@@ -1,5 +1,7 @@
 """A small labelled table: sample pages whose main text is marked by the attribute ``keep``."""
 
+import random
+
 LONG = (
     "The ferry leaves the old harbour at seven and needs most of an hour to cross, because the channel bends around two "
     "islands and the pilot keeps well clear of the sandbanks that move with every storm."
@@ -75,3 +77,54 @@ SAMPLES = [
     f"""<body><div class="side"><main class="has-banner share-on"><p keep>{MIDDLE}</p><p keep>{LONG}</p><p keep>{SHORT}</p></main></div>
     <div class="tags"><p>{MIDDLE}</p></div></body>""",
 ]
+
+
+def nameless(seed: int) -> str:
+    """A page whose main text no name tells: links at its ends and between, text of all lengths."""
+    rng = random.Random(seed)
+    words = (LONG + " " + MIDDLE).replace(",", "").replace(".", "").lower().split()
+
+    def text(low: int, high: int) -> str:
+        return " ".join(rng.choices(words, k=rng.randint(low, high))).capitalize()
+
+    def links(low: int, high: int) -> str:
+        made = [f"<a href=/{i}>{text(1, 4)}</a>" for i in range(rng.randint(low, high))]
+        kind = rng.randrange(3)
+        if kind == 0:
+            return f"<div>{rng.choice([' | ', ' ', ' - ']).join(made)}</div>"
+        return "<ul>" + "".join(f"<li>{a}</li>" for a in made) + "</ul>" if kind == 1 else "".join(f"<div>{a}</div>" for a in made)
+
+    def paragraph(low: int, high: int) -> str:
+        body = text(low, high)
+        if low > 20 and rng.random() < 0.2:
+            body += f" <a href=/in>{text(1, 3)}</a> {text(5, 9)}"
+        return f"<{block} keep>{body}.</{block}>"
+
+    def other() -> str:
+        """A part that says it is none of the text, however long."""
+        if rng.random() < 0.75:
+            return ""
+        tag, name = rng.choice(
+            [("nav", ""), ("header", ""), ("footer", ""), ("aside", ""), ("form", ""), ("div", " class=ad"), ("div", " class=comments"),
+             ("div", " class=sidebar"), ("section", " id=cookie-notice"), ("div", " hidden"), ("div", " class=related-posts")]
+        )
+        return f"<{tag}{name}>" + "".join(f"<p>{text(*size)}</p>" for size in rng.choices([(1, 6), (7, 20), (22, 60)], k=2)) + f"</{tag}>"
+
+    block = rng.choice(["p", "p", "p", "div"])
+    page = other() + rng.choice(["", f"<div>{text(1, 4)}</div>"]) + links(2, 6) if rng.random() < 0.85 else ""
+    page += f"<{(h := rng.choice(['h1', 'h1', 'h2', 'p']))} keep>{text(2, 9)}</{h}>"
+    for _ in range(rng.randint(1, 7)):
+        page += other() + paragraph(22, 60)
+        for _ in range(rng.randrange(3)):
+            page += paragraph(1, 9) if rng.random() < 0.7 else f"<h3 keep>{text(1, 5)}</h3>" + paragraph(10, 40)
+        if rng.random() < 0.2:
+            page += links(2, 4) + paragraph(22, 60)
+    if rng.random() < 0.9:
+        page += links(2, 5) + rng.choice(["", f"<div>{text(1, 5)}</div>", f"<div>{text(1, 3)}</div>" + links(2, 3)])
+    page += other()
+    wrapper = rng.choice(["", "<div>", '<div class="story-wrap">', "<div><div>", "<table><tr><td>", '<section class="c8">'])
+    return f"<html><body>{wrapper}{page}</body></html>"
+
+
+WRITTEN = list(SAMPLES)
+SAMPLES += [nameless(seed) for seed in range(80)]
