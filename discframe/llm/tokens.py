@@ -7,12 +7,18 @@
 3. The others leave as ``(row, pre-token, count)`` and meet ``pieces`` in a shuffled join.
 
 So a pre-token that every text has never travels, and the broadcast table has a fixed
-number of entries at every corpus size.  A null text is empty and has no tokens; rows are
-counted one by one, so repeated rows give repeated results.  Other columns are not read.
+number of entries at every corpus size.  A row is named by a hash of its key and text, so a
+task that runs again after a lost executor names it the same; equal rows are counted together
+and given out as often as they came.
+
+A null text is empty and has no tokens; repeated rows give repeated results.  Very long texts
+are split whole.  An empty table gives no rows.  Other columns are not read, whatever they are
+called.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections import Counter
@@ -162,21 +168,23 @@ def token_counts(
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                rows = batch.column(0).to_pylist()
-                keys = batch.column(1)
+                keys = batch.column(0)
+                rows: list[bytes] = []
                 pre: list[str] = []
-                owner: list[int] = []
+                owner: list[bytes] = []
                 count: list[int] = []
                 size: list[int] = []
                 done: list[int] = []
-                for i, value in enumerate(batch.column(2)):
+                for name, value in zip(keys.to_pylist(), batch.column(1)):
                     value = value.as_py() or ""
+                    named = hashlib.md5(f"{name!r}".encode()).digest() + value.encode()
+                    rows.append(hashlib.md5(named).digest())
                     total = 0
                     for p, n in Counter(known.split(value)).items():
                         each = table.get(p)
                         if each is None:
                             pre.append(p)
-                            owner.append(rows[i])
+                            owner.append(rows[-1])
                             count.append(n)
                         else:
                             total += n * each
@@ -186,9 +194,9 @@ def token_counts(
                 here, rare = len(rows), len(pre)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rows + owner, pa.int64()),
+                        pa.array(rows + owner, pa.binary()),
                         pa.concat_arrays([keys, pa.nulls(rare, keys.type)]),
-                        pa.array([f"\x00row{r}" for r in rows] + pre, pa.string()),
+                        pa.array([f"\x00row{r.hex()}" for r in rows] + pre, pa.string()),
                         pa.array([None] * here + count, pa.int64()),
                         pa.array(size + [None] * rare, pa.int64()),
                         pa.array(done + [None] * rare, pa.int64()),
@@ -198,7 +206,7 @@ def token_counts(
 
     schema = T.StructType(
         [
-            T.StructField("__row", T.LongType()),
+            T.StructField("__row", T.BinaryType()),
             id_field(docs, key),
             T.StructField("pre", T.StringType()),
             T.StructField("__n", T.LongType()),
@@ -206,11 +214,15 @@ def token_counts(
             T.StructField("__known", T.LongType()),
         ]
     )
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), key, text).mapInArrow(per_text, schema)
+    rows = docs.select(key, text).mapInArrow(per_text, schema)
     met = rows.join(pieces.select("pre", "pieces"), "pre", "left")
     part = F.coalesce(F.col("__known"), F.col("__n") * F.col("pieces"))
-    return (
-        met.groupBy("__row")
-        .agg(F.max(key).alias(key), F.max("__bytes").alias("n_bytes"), F.sum(part).alias("n_tokens"))
-        .drop("__row")
+    summed = met.groupBy("__row").agg(
+        F.max(key).alias(key),
+        F.max("__bytes").alias("n_bytes"),
+        F.sum(part).alias("__sum"),
+        F.count("__bytes").alias("__rows"),
     )
+    each = F.expr("__sum div __rows").alias("n_tokens")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows")))
+    return summed.select(key, "n_bytes", each, times.alias("__time")).drop("__time")

@@ -17,7 +17,10 @@ A passage that many items share is one window with many items, joined after docu
 reduced to distinct windows.
 
 Nulls: a null text has no words; a null item id counts as an item without a name and is
-left out of the list.  Repeated items are one item; repeated documents get a row each.
+left out of the list.  Repeated items are one item; repeated documents get a row each.  Very
+long texts are read whole.  Without documents there are no rows, without a benchmark nothing
+is hit.  Columns not carried are not read, whatever they are called; carried ones keep their names.
+Words and windows are compared by two 64-bit hashes (a false hit has odds of 2^-128 a pair).
 """
 
 from __future__ import annotations
@@ -123,8 +126,12 @@ def decontaminate(
 
 
 def _content(key: str, text: str) -> Column:
-    """Names a row by what it holds: equal rows share it and have equal results."""
-    return F.unhex(F.md5(F.concat_ws(":", F.col(key).cast("string"), text_of(text)).cast("binary")))
+    """Names a row by what it holds: equal rows share it and have equal results.
+
+    Key and text are hashed apart, so no two rows run into one another.
+    """
+    name = F.coalesce(F.concat(F.lit("k"), F.md5(F.col(key).cast("string").cast("binary"))), F.lit("n"))
+    return F.unhex(F.md5(F.concat(name, F.md5(text_of(text).cast("binary"))).cast("binary")))
 
 
 def _hits(

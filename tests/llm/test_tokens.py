@@ -52,3 +52,11 @@ def test_empty_table(spark):
 def test_classes_are_known():
     odd = PreTokens(PATH, public_tokenizers.PATTERN).odd_characters()
     assert "՘" in odd and "é" not in odd
+
+
+def test_equal_rows_and_keys_that_look_alike(spark):
+    rows = [(k, t) for k in ("None", None, "1", "", "'1'") for t in ("rare zyxwvut words", None, "")] * 3
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
+    got = token_counts(docs, PATH, public_tokenizers.PATTERN, frequent=1).collect()
+    want = sorted(((k, len((t or "").encode()), whole(t)) for k, t in rows), key=str)
+    assert sorted((tuple(r) for r in got), key=str) == want

@@ -92,3 +92,30 @@ def test_query(spark):
     assert "Python" not in plan and "Arrow" not in plan
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sorted(map(tuple, got.select(*names).collect()), key=str) == brute(docs, items)
+
+
+def test_rows_are_not_taken_for_each_other(spark):
+    """Keys and texts that read the same when put together."""
+    items = [("x", "one two three four five six seven eight nine ten")]
+    rows = [
+        ("a", "one two three four five:six seven eight nine ten", 0),
+        ("a:one two three four five", "six seven eight nine ten", 0),
+        (None, "a:one two three four five six seven eight nine ten", 1),
+        ("a", "one two three four five six seven eight nine ten", 1),
+        ("", None, 0),
+        (None, None, 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n_hit int")
+    got = winnow.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"]) for r in got), key=str) == sorted(
+        [("a", 10, 10), ("a:one two three four five", 5, 0), (None, 11, 10), ("a", 10, 10), ("", 0, 0), (None, 0, 0)], key=str
+    )
+
+
+def test_a_long_text(spark):
+    filler = " ".join(f"w{i}" for i in range(60_000))
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{filler} {passage} {filler}")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", passage)], "item_id string, text string")
+    (r,) = winnow.decontaminate(docs, items).collect()
+    assert (r["n_words"], r["n_hit"], r["n_items"]) == (120_012, 12, 1)
