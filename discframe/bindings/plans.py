@@ -158,29 +158,38 @@ def tick_titles(spark, sf_dir):
     return marks.drop("pts"), titles
 
 
-_PACKED = f"""mk AS (SELECT stream_id AS title_id, seq AS i0, CAST(coalesce(sum(pts) OVER (PARTITION BY stream_id ORDER BY seq {_PRE}), 0) AS DOUBLE) AS t, CAST(sum(pts) OVER (PARTITION BY stream_id) AS DOUBLE) AS duration FROM ticks),
+def packed_sql(marks: str, r: pk.Rules) -> str:
+    """CTEs up to ``segments`` over *marks*: ``title_id, i0, t, duration`` (rules without an upper bound)."""
+    return f"""mk AS ({marks}),
 gp AS (SELECT title_id, t, duration, row_number() OVER w - 1 AS i, coalesce(lead(t) OVER w, duration) - t AS gap FROM mk WHERE t >= 0 AND t < duration WINDOW w AS (PARTITION BY title_id ORDER BY t, i0)),
-kd AS (SELECT *, CAST(round_even(gap / 500, 0) AS BIGINT) AS kind, i = 0 OR pg < 6000 AS after FROM (SELECT *, lag(gap) OVER (PARTITION BY title_id ORDER BY i) AS pg FROM gp) WHERE gap > 0 AND gap < 6000),
+kd AS (SELECT *, CAST(round_even(gap / {r.bucket}, 0) AS BIGINT) AS kind, i = 0 OR pg < {r.short} AS after FROM (SELECT *, lag(gap) OVER (PARTITION BY title_id ORDER BY i) AS pg FROM gp) WHERE gap > 0 AND gap < {r.short}),
 sp AS (SELECT *, t - lag(t) OVER (PARTITION BY title_id, kind, after ORDER BY i) AS space FROM kd),
 ks AS (SELECT title_id, kind, after, count(*) AS n, median(space) AS typical, min(space) AS lo, max(space) AS hi, min(t) AS first FROM sp GROUP BY 1, 2, 3),
-bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY first, n DESC) AS r FROM ks WHERE n >= 3 AND typical >= 0 AND hi - typical <= 0.9 * typical AND typical - lo <= 0.9 * typical) WHERE r = 1),
+bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY first, n DESC) AS r FROM ks WHERE n >= {r.min_cycles} AND typical >= {r.min_episode} AND hi - typical <= {r.spread} * typical AND typical - lo <= {r.spread} * typical) WHERE r = 1),
 an AS (SELECT kd.title_id, kd.i, typical FROM kd JOIN bk ON bk.title_id = kd.title_id AND bk.kind = kd.kind AND bk.after = kd.after),
-rn AS (SELECT gp.*, an.i IS NOT NULL AS anchor, gp.i - 1 - coalesce(max(CASE WHEN gap >= 6000 THEN gp.i END) OVER (PARTITION BY gp.title_id ORDER BY gp.i {_PRE}), -1) AS run,
+rn AS (SELECT gp.*, an.i IS NOT NULL AS anchor, gp.i - 1 - coalesce(max(CASE WHEN gap >= {r.short} THEN gp.i END) OVER (PARTITION BY gp.title_id ORDER BY gp.i {_PRE}), -1) AS run,
   min(an.i) OVER (PARTITION BY gp.title_id) AS a0, max(typical) OVER (PARTITION BY gp.title_id) AS typ FROM gp LEFT JOIN an ON an.title_id = gp.title_id AND an.i = gp.i),
 fc AS (SELECT title_id, min(run) FILTER (WHERE anchor AND i > a0) AS ending, max(run) FILTER (WHERE anchor AND i > a0) AS longest, coalesce(max(i) FILTER (WHERE i = a0 AND run = i), 0) AS lead_n, min(t) AS t0, max(a0) AS a0, max(typ) AS typ, max(duration) AS duration
   FROM rn WHERE a0 IS NOT NULL GROUP BY 1),
 it AS (SELECT fc.title_id, lead_n FROM fc JOIN rn a ON a.title_id = fc.title_id AND a.anchor AND a.i > fc.a0
   JOIN rn g ON g.title_id = a.title_id AND g.i >= a.i - lead_n AND g.i < a.i JOIN rn l ON l.title_id = a.title_id AND l.i = g.i - (a.i - lead_n)
-  WHERE lead_n > 0 AND lead_n < ending AND ending = longest GROUP BY 1, 2 HAVING bool_and(abs(g.gap - l.gap) <= 150)),
+  WHERE lead_n > 0 AND lead_n < ending AND ending = longest GROUP BY 1, 2 HAVING bool_and(abs(g.gap - l.gap) <= {r.lead_match})),
 st AS (SELECT a.title_id, s.t AS start, a.i AS byi FROM rn a JOIN fc ON fc.title_id = a.title_id AND a.anchor AND a.i > fc.a0 LEFT JOIN it ON it.title_id = a.title_id
   JOIN gp s ON s.title_id = a.title_id AND s.i = a.i - (a.run - (ending - coalesce(it.lead_n, 0)))
   UNION ALL SELECT title_id, t0, -1 FROM fc),
-sg AS (SELECT st.title_id, row_number() OVER w - 1 AS seg_idx, start, coalesce(lead(start) OVER w, duration) AS en, row_number() OVER w AS episode, lead(start) OVER w IS NULL AS last, typ, duration FROM st JOIN fc USING (title_id) WINDOW w AS (PARTITION BY st.title_id ORDER BY byi)),
-cu AS (SELECT sg.title_id, arg_min(bd.t, struct_pack(o := abs(bd.t - (start + typ)), t := bd.t)) AS cut, min(abs(bd.t - (start + typ))) AS off, max(en) AS en FROM sg
-  JOIN (SELECT title_id, t FROM gp UNION ALL SELECT title_id, duration FROM fc) bd ON bd.title_id = sg.title_id AND bd.t > start WHERE last AND en - start > typ + 6000 GROUP BY 1),
-ct AS (SELECT title_id, cut FROM cu WHERE off <= 6000 AND cut < en),
-segments AS (SELECT sg.title_id, CAST(seg_idx AS INTEGER) AS seg_idx, start, CASE WHEN last AND cut IS NOT NULL THEN cut ELSE en END AS "end", CAST(episode AS INTEGER) AS episode FROM sg LEFT JOIN ct USING (title_id)
-  UNION ALL SELECT sg.title_id, CAST(seg_idx + 1 AS INTEGER), cut, en, NULL FROM sg JOIN ct USING (title_id) WHERE last)"""
+sgm AS (SELECT st.title_id, row_number() OVER w - 1 AS seg_idx, start, coalesce(lead(start) OVER w, duration) AS en, row_number() OVER w AS episode, lead(start) OVER w IS NULL AS last, typ, duration FROM st JOIN fc USING (title_id) WINDOW w AS (PARTITION BY st.title_id ORDER BY byi)),
+cu AS (SELECT sgm.title_id, arg_min(bd.t, struct_pack(o := abs(bd.t - (start + typ)), t := bd.t)) AS cut, min(abs(bd.t - (start + typ))) AS off, max(en) AS en FROM sgm
+  JOIN (SELECT title_id, t FROM gp UNION ALL SELECT title_id, duration FROM fc) bd ON bd.title_id = sgm.title_id AND bd.t > start WHERE last AND en - start > typ + {r.snap} GROUP BY 1),
+ct AS (SELECT title_id, cut FROM cu WHERE off <= {r.snap} AND cut < en),
+segments AS (SELECT sgm.title_id, CAST(seg_idx AS INTEGER) AS seg_idx, start, CASE WHEN last AND cut IS NOT NULL THEN cut ELSE en END AS "end", CAST(episode AS INTEGER) AS episode FROM sgm LEFT JOIN ct USING (title_id)
+  UNION ALL SELECT sgm.title_id, CAST(seg_idx + 1 AS INTEGER), cut, en, NULL FROM sgm JOIN ct USING (title_id) WHERE last)"""
+
+
+_PACKED = packed_sql(
+    f"""SELECT stream_id AS title_id, seq AS i0, CAST(coalesce(sum(pts) OVER (PARTITION BY stream_id ORDER BY seq {_PRE}), 0) AS DOUBLE) AS t,
+  CAST(sum(pts) OVER (PARTITION BY stream_id) AS DOUBLE) AS duration FROM ticks""",
+    _RULES,
+)
 
 
 @query("c9_packed_episodes", f"""WITH {b.TICKS}, {_PACKED} SELECT * FROM segments""")
