@@ -41,7 +41,7 @@ from discframe.llm.common import cut_lineage, id_field
 from discframe.llm.vocabularies import ByteLevel, Pieces
 
 #: Bytes of text aligned at once, pairs that a task sums before it hands them on.
-BATCH_BYTES, FLUSH = 4 << 20, 2_000_000
+BATCH_BYTES, FLUSH = 1 << 20, 2_000_000
 #: Pairs of a shard; parts that meet in one vector, and vectors that meet in one sum.
 SHARD_PAIRS, FAN = 1 << 14, 256
 
@@ -73,10 +73,12 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str, pattern: str):
         self.a, self.b = ByteLevel(path_a, pattern), Pieces(path_b)
+        if not self.a.lossless:
+            raise ValueError(f"{path_a}: only byte-level files without a normalizer are known")
         self.size_a = np.zeros(1 + max(self.a.bytes), np.int64)
         for i, t in self.a.bytes.items():
             self.size_a[i] = len(t)
-        self.size_b = np.array([len(t) for t in self.b.bytes], np.int64)
+        self.size_b = self.b.sizes
         # Every id with the sign behind it: next of the side, other side, next group.
         self.signed = [f"{i}{sign}" for sign in ",|" for i in range(len(self.size_a))]
         self.at_b = len(self.signed)
@@ -86,26 +88,27 @@ class Aligner:
         """The texts behind a blank; those that are empty or whose bytes differ are left out."""
         row: list[int] = []
         all_a: list[list[int]] = []
-        all_b: list[list[int]] = []
+        all_b: list[np.ndarray] = []
         raw_size: list[int] = []
         some = [i for i, t in enumerate(texts) if t]
-        of_a, of_b = self.a.bytes.__getitem__, self.b.bytes.__getitem__
-        for i, ids_b in zip(some, self.b.ids([texts[i] for i in some])):
-            raw = (" " + texts[i]).encode()
-            ids_a = self.a.plain_ids(" " + texts[i])
-            if b"".join(map(of_a, ids_a)) == raw and b"".join(map(of_b, ids_b)) == raw:
+        for i, (ids_b, equal) in zip(some, self.b.checked([texts[i] for i in some])):
+            if equal:
                 row.append(i)
-                all_a.append(ids_a)
+                all_a.append(self.a.plain_ids(" " + texts[i]))
                 all_b.append(ids_b)
-                raw_size.append(len(raw))
+                raw_size.append(1 + len(texts[i].encode()))
         n_a, n_b = [np.array([len(x) for x in ids], np.int64) for ids in (all_a, all_b)]
-        a, b = [np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((all_a, n_a), (all_b, n_b))]
-        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        a = np.fromiter(chain.from_iterable(all_a), np.int64, int(n_a.sum()))
+        b = np.concatenate([np.zeros(0, np.int64), *all_b])
+        # The bytes of all texts in a row, and where tokens of either side end.
+        total = sum(raw_size)
+        is_a, is_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+        is_a[np.cumsum(self.size_a[a])], is_b[np.cumsum(self.size_b[b])] = True, True
         # Between two ends of any side lie one token of A and one of B: a link.
-        cuts = np.sort(np.concatenate([end_a, end_b]), kind="stable")
-        cuts = cuts[np.concatenate([cuts[1:] != cuts[:-1], np.ones(min(1, len(cuts)), bool)])]
-        i_a, i_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
-        both = (end_a[i_a] == cuts) & (end_b[i_b] == cuts)
+        cuts = np.flatnonzero(is_a | is_b)
+        at_a, at_b = is_a[cuts], is_b[cuts]
+        both = at_a & at_b
+        i_a, i_b = np.cumsum(at_a) - at_a, np.cumsum(at_b) - at_b
         ends = np.searchsorted(cuts, np.cumsum(np.array(raw_size, np.int64)), side="right")
         out = Aligned(row, n_a, n_b, np.zeros(0, np.int64), ends, a[i_a] << 32 | b[i_b], [])
         out.n_groups = out.per_text(both.astype(np.int64))
@@ -114,7 +117,11 @@ class Aligner:
             code_a, code_b = a.copy(), b + self.at_b
             code_a[last_a] += len(self.size_a)
             code_b[last_b] += len(self.size_b)
-            in_group = [np.searchsorted(last, np.arange(n)) for last, n in ((last_a, len(a)), (last_b, len(b)))]
+            in_group = []
+            for last, n in ((last_a, len(a)), (last_b, len(b))):
+                first = np.zeros(n + 1, np.int64)
+                first[last + 1] = 1
+                in_group.append(np.cumsum(first[:n]))
             order = np.argsort(np.concatenate([2 * in_group[0], 2 * in_group[1] + 1]), kind="stable")
             written = list(map(self.signed.__getitem__, np.concatenate([code_a, code_b])[order].tolist()))
             stops = np.cumsum(n_a + n_b).tolist()

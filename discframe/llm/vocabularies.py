@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -38,6 +39,8 @@ class ByteLevel:
         vocabulary, table = described["model"]["vocab"], byte_table()
         own = {text: i for text, i in vocabulary.items() if text not in self.added}
         self.bytes = {i: bytes(table[c] for c in text) for text, i in own.items()}
+        #: Whether ids always join to the bytes of the text.
+        self.lossless = not described["normalizer"] and (described["pre_tokenizer"] or {}).get("type") == "ByteLevel"
         self.fast = None
         self._same: dict[str, bool] = {}
         first = len(own) - len(described["model"]["merges"])
@@ -78,7 +81,14 @@ class ByteLevel:
 
 
 class Pieces:
-    """A ``sentencepiece`` model."""
+    """A ``sentencepiece`` model.
+
+    Where no piece goes on behind a blank, nothing is ever joined across one: the ids of a
+    text are those of its words one by one.  Words are encoded once and remembered, up to
+    ``REMEMBERED``; texts with blanks in a row or at an end (or the sign for one) are encoded whole.
+    """
+
+    REMEMBERED, LONGEST = 300_000, 40
 
     def __init__(self, path: str):
         import sentencepiece
@@ -90,9 +100,62 @@ class Pieces:
             bytes([int(t[3:5], 16)]) if self.model.is_byte(i) else t.replace("▁", " ").encode()
             for i, t in enumerate(names)
         ]
+        prefixed = [self.model.id_to_piece(i) for i in self.model.encode("a b")] == ["▁a", "▁b"]
+        self.apart = prefixed and not any("▁" in t.lstrip("▁") for t in names)
+        self.sizes = np.array([len(t) for t in self.bytes], np.int64)
+        #: The ids of remembered words as 32-bit numbers.
+        self._known: dict[str, bytes] = {}
+        #: Remembered words whose pieces do not join to their bytes.
+        self._lossy: set[str] = set()
+
+    def joins(self, text: str, ids: list[int]) -> bool:
+        """Whether the pieces join to the bytes of blank and *text*."""
+        return b"".join(map(self.bytes.__getitem__, ids)) == (" " + text).encode()
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        return [ids.tolist() for ids, _ in self.checked(texts)]
+
+    def checked(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        """The ids of each text, and whether they join to its bytes."""
+        parts = [
+            None if not self.apart or "  " in t or "▁" in t or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts
+        ]
+        words = set().union(*filter(None, parts))
+        new = list(words.difference(self._known))
+        if len(self._known) + len(new) > self.REMEMBERED:
+            self._known.clear()
+            self._lossy.clear()
+            new = list(words)
+        self._remember(new)
+        get = self._known.__getitem__
+        out = []
+        for t, split in zip(texts, parts):
+            if split and (not self._lossy or self._lossy.isdisjoint(split)):
+                out.append((np.frombuffer(b"".join(map(get, split)), np.int32), True))
+            else:
+                ids = self.whole([t])[0]
+                out.append((np.array(ids, np.int32), self.joins(t, ids)))
+        for w in new:
+            if len(w) > self.LONGEST:
+                del self._known[w]
+                self._lossy.discard(w)
+        return out
+
+    def _remember(self, words: list[str]) -> None:
+        found = self.whole(words)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+        held, stops = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        self._known.update(zip(words, [held[a:b] for a, b in zip([0, *stops], stops)]))
+        # All at once: equal bytes in a row, of equal lengths word by word.
+        raw = [f" {w}".encode() for w in words]
+        lengths = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.cumsum(counts)]
+        equal = np.array_equal(lengths, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))))
+        if not equal or b"".join(map(self.bytes.__getitem__, ids.tolist())) != b"".join(raw):
+            self._lossy.update(w for w, x in zip(words, found) if not self.joins(w, x))
 
 
 def crc_of(ids: list[int]) -> int:

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from discframe.llm import alignment
 from discframe.llm.common import read
-from discframe.llm.vocabularies import byte_table
+from discframe.llm.vocabularies import Pieces, byte_table
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_a", T.StringType())])
@@ -103,3 +103,15 @@ def test_unknown_pair_fails():
     assert table.counts(keys).tolist() == [1] * 100
     with pytest.raises(KeyError):
         table.counts(np.array([5], np.int64))
+
+
+def test_words_apart_are_the_whole_text(spark):
+    import random
+
+    model, rng = Pieces(B), random.Random(3)
+    assert model.apart
+    texts = [t for t in ODD if t] + [r["text"] for r in read(spark, "/root/testdata/sf0.01", "documents").collect() if r["text"]]
+    texts += ["".join(rng.choices(" \n\ta▁é1.日🙂' ", k=30)) for _ in range(2000)]
+    assert model.ids(texts) == model.whole(texts)
+    model.REMEMBERED = 50
+    assert model.ids(texts) == model.whole(texts)
