@@ -8,21 +8,26 @@ and common words.  The measure is the Jensen-Shannon distance (base 2, 0 to 1).
 3. References: per language the summed histograms; then summed again over the texts that
    are nearer to the first reference than the harmonic mean of all distances, so junk in
    the corpus does not move the reference towards itself.
-4. A text is rejected if its character distance reaches *far* (from *short* words on), or
-   if both distances reach *near_chars* and *near_words* (from *long* words on).  Shorter
-   texts have too few characters for a histogram and are left alone, as are languages whose
-   reference has fewer than *reference_words* words.
+4. A text is rejected if its character distance reaches *far*, or if both distances reach
+   *near_chars* and *near_words*.  A histogram of few counts is away from its own source by
+   chance, so all limits rise with that noise: by *noise* times ``sqrt(bins / (8 ln 2))``
+   times ``sqrt(1 / n + 1 / n of the reference)``.  That guards short texts and languages with
+   few texts without a step anywhere: the same rule holds at every length and size.
 
 Base rules come first: fewer than *min_words* words, or more than a fifth of the words in
 five-word windows that the text has twice or more.
 
 A null text has no words and fails the base rules.  A null language is a language of its
-own.  Rows are judged one by one; repeated rows get the same verdict.  Columns of the input
-are carried in a struct, so their names cannot clash with those made here.
+own.  Rows are judged one by one; repeated rows get the same verdict.  Very long texts are
+counted whole.  Words that stand in as many texts are common in code-point order.  Distances
+at a limit reach it.  An empty table gives no rows.  Columns of the input are carried in a
+struct, so their names cannot clash with those made here.  Repeated windows are found by 64-bit
+hashes: two different windows of one text are taken for equal with odds of n^2 / 2^65.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -180,12 +185,10 @@ def judge(
     *,
     common_count: int = 50,
     min_words: int = 10,
-    short: int = 20,
-    far: float = 0.30,
-    long: int = 80,
-    near_chars: float = 0.18,
+    far: float = 0.28,
+    near_chars: float = 0.16,
     near_words: float = 0.20,
-    reference_words: int = 2000,
+    noise: float = 0.5,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """*carry* (the key by default) with the counts, ``char_distance``, ``word_distance``,
@@ -203,10 +206,16 @@ def judge(
     rows = _beside(rows, refs)
     chars, words = F.col("char_distance"), F.col("word_distance")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    diverges = ((F.col("n_words") >= short) & (chars >= far)) | (
-        (F.col("n_words") >= long) & (chars >= near_chars) & (words >= near_words)
-    )
-    known = F.coalesce(F.col("__ref_words") >= reference_words, F.lit(False))
+
+
+    def chance(bins: int, counts: Column, reference: Column) -> Column:
+        """How far histograms of that many counts are from one another by chance."""
+        spread = 1 / F.greatest(counts, F.lit(1)) + 1 / F.greatest(F.coalesce(reference, F.lit(1)), F.lit(1))
+        return F.lit(noise * math.sqrt(bins / (8 * math.log(2)))) * F.sqrt(spread)
+
+    by_chance = chance(len(CLASSES), _summed(F.col("__chars")), _summed(F.col("__ref_chars")))
+    words_by_chance = chance(common_count, F.col("n_words"), F.col("__ref_words"))
+    diverges = (chars >= far + by_chance) | ((chars >= near_chars + by_chance) & (words >= near_words + words_by_chance))
     return (
         rows.withColumns(
             {
@@ -215,7 +224,7 @@ def judge(
                 "base_failed": failed,
             }
         )
-        .withColumn("kept", ~F.col("base_failed") & ~(known & diverges))
+        .withColumn("kept", ~F.col("base_failed") & ~diverges)
         .select(
             *[F.col("__kept")[c].alias(c) for c in kept],
             *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance"],

@@ -69,7 +69,7 @@ def corpus():
 
 def test_judge(spark, corpus):
     docs = spark.createDataFrame([(*r, 1, "z") for r in corpus], "doc_id long, text string, lang string, n_words int, kept string")
-    rows = quality.judge(docs, reference_words=100).collect()
+    rows = quality.judge(docs).collect()
     assert sorted((r["doc_id"], *[r[c] for c in COUNTS]) for r in rows if r["doc_id"] is not None) == sorted(
         (k, *base(t)) for k, t, _ in corpus if k is not None
     )
@@ -107,3 +107,27 @@ def test_empty(spark):
 def test_native(spark):
     plan = queries.QUERIES["op7_quality_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_labels(spark):
+    """Misses and false rejections beside the labels, as the README gives them."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in queries.QUERIES["op7_quality_rules"](spark, folder).collect() if not r["base_failed"] and r["doc_id"] in labels]
+    junk = [r["kept"] for r in rows if labels[r["doc_id"]] == 0]
+    clean = [r["kept"] for r in rows if labels[r["doc_id"]] == 1]
+    assert sum(junk) <= 0.06 * len(junk) and clean.count(False) <= 0.002 * len(clean)
+
+
+def test_no_steps(spark):
+    """A text is judged alike in a small and a large language, and limits move little by length."""
+    rng = random.Random(2)
+    words = ["the", "of", "and", "to"] * 30 + ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(400)]
+
+    def text(n, end=""):
+        return " ".join(rng.choice(words) + end for _ in range(n))
+
+    rows = [(i, text(60), "large") for i in range(300)] + [(i + 1000, text(60), "small") for i in range(20)]
+    rows += [(2000, text(60, "***"), "large"), (2001, text(60, "***"), "small"), (2002, text(70_000), "large"), (2003, text(12), "small")]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got.pop(2000) and not got.pop(2001) and all(got.values())
