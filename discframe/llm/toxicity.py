@@ -12,12 +12,13 @@
 * **Score.**  A logistic curve over the summed weight, as it is and per square root of the
   number of words, fitted on the same rows.
 
-The fit reads at most about *sample_rows* labelled rows (chosen by a hash of the key); every
-text is scored whole.  Labels, languages, sources and keys are never part of a score.
+The fit reads at most about *sample_rows* labelled keys (chosen by a hash of the key), which
+bounds all that the driver holds; every text is scored whole, very long ones too.  Labels, languages, sources and keys are never part of a score.
 
 A null or empty text has no match and the lowest score.  Without labelled rows of both
 kinds the lexicon is empty and every score is the share of toxic rows (0 without rows).
-Repeated rows get equal scores.
+Repeated rows get equal scores; a labelled key with several rows teaches by one of them.  An
+empty table gives no rows.  Columns not named are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -152,7 +153,7 @@ def _counted(train: DataFrame) -> DataFrame:
     return counted.groupBy("c").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
 
 
-def learn(train: DataFrame, *, least_texts: int, least_weight: float, most_terms: int, productive: int) -> Lexicon:
+def learn(train: DataFrame, *, least_texts: int, least_weight: float, productive: int) -> Lexicon:
     """A lexicon from rows of ``text`` and ``label`` (0 or 1), whose number is bounded."""
     totals = {bool(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}
     bad, fine = totals.get(True, 0), totals.get(False, 0)
@@ -167,9 +168,9 @@ def learn(train: DataFrame, *, least_texts: int, least_weight: float, most_terms
         .select("c", "bad", "fine", "w")
     )
     # Beginnings need several different words; words that are too rare alone still count there.
+    # All that are, whose number the bounded sample bounds.
     rows = strong.filter((F.col("bad") >= least_texts) & (F.col("w") >= least_weight))
-    rows = rows.orderBy(F.desc(F.col("w") * F.sqrt("bad")), "c").limit(most_terms).collect()
-    chosen = {r["c"]: r["w"] for r in rows}
+    chosen = {r["c"]: r["w"] for r in rows.orderBy("c").collect()}
     stems = {c for c in chosen if not c.endswith(" ")}
     if stems:
         words = strong.filter(F.col("c").endswith(" ") & (F.col("fine") == 0))
@@ -251,13 +252,17 @@ def _curve(train: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
 def training_rows(
     docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, usable: Column, sample_rows: int
 ) -> DataFrame:
-    """``text`` and ``label`` of about *sample_rows* labelled rows at most, by a hash of the key."""
+    """``text`` and ``label`` of about *sample_rows* labelled keys at most, by a hash of the key.
+
+    A key that has several rows gives one of them, the least of its texts.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & usable)
     known = known.groupBy(key).agg(F.max(label).cast("int").alias("label"))
     share = min(1.0, sample_rows / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select(key, F.col(text).alias("text"))
-    return cut_lineage(texts.join(cut_lineage(chosen), key).select("text", "label"))
+    met = texts.join(cut_lineage(chosen), key).groupBy(key, "label").agg(F.min("text").alias("text"))
+    return cut_lineage(met.select("text", "label"))
 
 
 def held_out(key: str, folds: int = 5) -> Column:
@@ -274,7 +279,6 @@ def toxicity(
     sample_rows: int = 20_000,
     least_texts: int = 5,
     least_weight: float = 3.0,
-    most_terms: int = 5000,
     productive: int = 4,
 ) -> DataFrame:
     """*key*, ``held_out``, ``score`` and ``predicted`` of every row of *docs*.
@@ -282,9 +286,7 @@ def toxicity(
     Rows whose key has ``crc32 mod 5 = 0`` are held out: their labels are not read.
     """
     train = training_rows(docs, labels, key, text, label, ~held_out(key), sample_rows)
-    lexicon = learn(
-        train, least_texts=least_texts, least_weight=least_weight, most_terms=most_terms, productive=productive
-    )
+    lexicon = learn(train, least_texts=least_texts, least_weight=least_weight, productive=productive)
     a, b, c = lexicon.curve
     schema = T.StructType([id_field(docs, key), T.StructField("score", T.DoubleType())])
 

@@ -76,3 +76,30 @@ def test_all_learnt_exceptions_count(spark):
     train = spark.createDataFrame([(text, 0), ("you trash", 1)], "text string, label int")
     found = toxicity._learned_exceptions(train, toxicity.Lexicon({" trash ": 5.0}), 1)
     assert len(found) == 2998 and set(found.values()) == {5.0}
+
+
+def test_matches_are_those_of_a_plain_search(spark):
+    """Aho-Corasick, exceptions included, beside looking for every pattern at every place."""
+    import random
+
+    rng = random.Random(4)
+
+    def plain(weights, exceptions, text):
+        folded, best, back = toxicity.folded(text), {}, {}
+        for pattern, weight in weights.items():
+            for at in range(len(folded)):
+                if folded.startswith(pattern, at):
+                    best[at] = max(weight, best.get(at, 0.0))
+        for phrase, weight in exceptions.items():
+            for at in range(len(folded)):
+                if folded.startswith(phrase, at):
+                    for word in {a for a in best if at <= a < at + len(phrase) - 1}:
+                        back[word] = max(weight, back.get(word, 0.0))
+        return sum(max(0.0, w - back.get(at, 0.0)) for at, w in best.items())
+
+    for _ in range(200):
+        weights = {" trash ": 5.0, " scum": 4.0, " scumb ": 3.0, " rot ": 2.0}
+        exceptions = {p: 5.0 for p in rng.sample([" trash can ", " the trash ", " dry rot "], rng.randint(0, 3))}
+        text = " ".join(rng.choices(["trash", "can", "the", "scum", "scumb", "rot", "dry", "TRA5H", "sсum", "x"], k=rng.randint(0, 15)))
+        found = toxicity.summed(toxicity.Lexicon(weights, exceptions).automaton(), text)[0]
+        assert found == pytest.approx(plain(weights, exceptions, text)), (text, exceptions)
