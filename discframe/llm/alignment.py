@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from discframe.llm.common import cut_lineage, id_field
-from discframe.llm.vocabularies import ByteLevel, Pieces
+from discframe.llm.vocabularies import Pieces, byte_level
 
 #: Bytes of text aligned at once, pairs that a task sums before it hands them on.
 BATCH_BYTES, FLUSH = 1 << 20, 2_000_000
@@ -72,7 +73,7 @@ class Aligner:
     """Aligns texts by a byte-level file A and a ``sentencepiece`` model B."""
 
     def __init__(self, path_a: str, path_b: str, pattern: str):
-        self.a, self.b = ByteLevel(path_a, pattern), Pieces(path_b)
+        self.a, self.b = byte_level(path_a, pattern), Pieces(path_b)
         if not self.a.lossless:
             raise ValueError(f"{path_a}: only byte-level files without a normalizer are known")
         self.size_a = np.zeros(1 + max(self.a.bytes), np.int64)
@@ -129,6 +130,12 @@ class Aligner:
         return out
 
 
+@cache
+def aligner_of(path_a: str, path_b: str, pattern: str) -> Aligner:
+    """One per worker process, with the words it remembers."""
+    return Aligner(path_a, path_b, pattern)
+
+
 # -- minimal perfect hash ------------------------------------------------------------------------
 
 
@@ -255,7 +262,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, pattern: str, text: s
     """``shard, hash, keys, counts`` (a row per shard, vectors as bytes), and how many pairs there are."""
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b, pattern)
+        aligner = aligner_of(path_a, path_b, pattern)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for _, texts in _stream(batches, 0):
@@ -392,7 +399,7 @@ def align(
         shared = docs.sparkSession.sparkContext.broadcast((rows, best_of))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b, pattern)
+        aligner = aligner_of(path_a, path_b, pattern)
         counted = PairTable(*shared.value) if shared is not None else None
         for batch, texts in _stream(batches, 1):
             found = aligner.align(texts, True)

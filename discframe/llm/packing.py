@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from discframe.llm.common import cut_lineage, id_field
-from discframe.llm.vocabularies import ByteLevel, crc_of
+from discframe.llm.vocabularies import byte_level, crc_of
 
 SLICES = 4096
 
@@ -92,7 +92,7 @@ def pieces(
     names = [f.name for f in fields]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ByteLevel(path, pattern)
+        known = byte_level(path, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -27,14 +28,10 @@ class ByteLevel:
     """
 
     def __init__(self, path: str, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.path = path
         self.added = [t["content"] for t in described["added_tokens"]]
         vocabulary, table = described["model"]["vocab"], byte_table()
         own = {text: i for text, i in vocabulary.items() if text not in self.added}
@@ -53,6 +50,20 @@ class ByteLevel:
             ranks = {b: i for i, b in self.bytes.items()}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def plain(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
     def _agree(self, text: str) -> bool:
         if self.fast is None:
             return False
@@ -158,6 +169,12 @@ class Pieces:
             self._lossy.update(w for w, x in zip(words, found) if not self.joins(w, x))
 
 
+@cache
+def byte_level(path: str, pattern: str | None = None) -> ByteLevel:
+    """One per worker process, with what it remembers."""
+    return ByteLevel(path, pattern)
+
+
 def crc_of(ids: list[int]) -> int:
     """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
     import zlib
