@@ -120,7 +120,7 @@ jd AS (SELECT x.group_id, x.edition, x.title_id, CASE WHEN x.kind <> f.kind THEN
   WHEN abs(x.duration - f.duration) > {within} * greatest(x.duration, f.duration) THEN 'other_length' END AS reason
   FROM tt x JOIN tt f ON f.group_id = x.group_id AND f.edition = 0 WHERE x.edition > 0)"""
 _JUDGE = _JUDGE_AT.format(k=3, within=0.25)
-_JUDGE_LOOSE = _JUDGE_AT.format(k=1, within=0.9)
+_JUDGE_LOOSE = _JUDGE_AT.format(k=1, within=(9, 10))
 
 
 def _edition_titles(spark, sf_dir):
@@ -148,7 +148,7 @@ def _(spark, sf_dir):
     marks = s.o.ordered(_marks(rows), "title_id", ["t"], _rn=s.o.row_number()).select(
         "title_id", (F.col("_rn") - 1).alias("mark_idx"), "t"
     )
-    atoms, _ = e.combine_editions(_edition_titles(spark, sf_dir), b.items(spark, sf_dir), marks, k=1, within=0.9)
+    atoms, _ = e.combine_editions(_edition_titles(spark, sf_dir), b.items(spark, sf_dir), marks, k=1, within=(9, 10))
     return atoms
 
 

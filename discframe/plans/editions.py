@@ -218,7 +218,9 @@ def edition_atoms(editions: DataFrame, union: DataFrame, marks: DataFrame) -> Da
     )
 
 
-def validate_editions(titles: DataFrame, items: DataFrame, k: int = SHARED_CLIPS, within: float = LENGTH_SHARE) -> DataFrame:
+def validate_editions(
+    titles: DataFrame, items: DataFrame, k: int = SHARED_CLIPS, within: tuple[int, int] = LENGTH_SHARE
+) -> DataFrame:
     """Why an edition cannot be combined with the first of its group; NULL when it can.
 
     Titles: ``group_id, edition, title_id, duration, kind``.  Every later edition is
@@ -241,7 +243,7 @@ def validate_editions(titles: DataFrame, items: DataFrame, k: int = SHARED_CLIPS
         .agg(F.count(F.lit(1)).alias("_shared"))
     )
     joined = later.join(first, "group_id").join(shared, ["group_id", "title_id"], "left")
-    far = F.abs(F.col("duration") - F.col("_d")) > F.lit(within) * F.greatest("duration", "_d")
+    far = F.abs(F.col("duration") - F.col("_d")) > F.lit(within[0] / within[1]) * F.greatest("duration", "_d")
     reason = (
         F.when(F.col("kind") != F.col("_k"), "other_kind")
         .when(F.coalesce("_shared", F.lit(0)) < k, "few_shared_clips")
@@ -251,7 +253,7 @@ def validate_editions(titles: DataFrame, items: DataFrame, k: int = SHARED_CLIPS
 
 
 def combine_editions(
-    titles: DataFrame, items: DataFrame, marks: DataFrame, k: int = SHARED_CLIPS, within: float = LENGTH_SHARE
+    titles: DataFrame, items: DataFrame, marks: DataFrame, k: int = SHARED_CLIPS, within: tuple[int, int] = LENGTH_SHARE
 ) -> tuple[DataFrame, DataFrame]:
     """``(atoms, rejected)``: combined editions of every group that passes validation.
 
