@@ -28,7 +28,10 @@ Domain = Sequence[tuple[str, str]]
 
 def sketched(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, int]]:
     """Rows of *df*, and about how many rows the most frequent value of each column has."""
-    tops = [F.call_function("approx_top_k", F.col(c), F.lit(1), F.lit(COUNTERS))[0]["count"].alias(f"c{i}") for i, c in enumerate(columns)]
+    tops = [
+        F.get(F.call_function("approx_top_k", F.col(c), F.lit(1), F.lit(COUNTERS)), F.lit(0))["count"].alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ]
     row = df.agg(F.count(F.lit(1)).alias("n"), *tops).first()
     return int(row["n"]), {c: int(row[f"c{i}"] or 0) for i, c in enumerate(columns)}
 
