@@ -128,16 +128,14 @@ def _hex(digest, upper: bool) -> str:
 
 
 def nfc(df: DataFrame, column: str) -> DataFrame:
-    """*column* in Unicode NFC; only rows with non-ASCII text visit Python."""
-
+    """*column* in Unicode NFC; only non-ASCII texts visit Python, in the same pass."""
 
     @F.pandas_udf("string")
     def normalise(texts: pd.Series) -> pd.Series:
         return texts.str.normalize("NFC")
 
     plain = F.length(column) == F.octet_length(column)
-    other = df.filter(~plain)
-    return df.filter(plain | F.col(column).isNull()).unionByName(other.withColumn(column, normalise(column)))
+    return df.withColumn(column, F.coalesce(normalise(F.when(~plain, F.col(column))), column))
 
 
 def manifest_fingerprint(files: DataFrame) -> DataFrame:

@@ -241,7 +241,7 @@ def _similar_pairs(df: DataFrame, group: str, ident: str, item: str, k: int) ->
     df = cut_lineage(df.select(group, ident, item).distinct())
     members, reps = representatives(df, group, ident, item)
     big = reps.filter(F.col("n") >= k).select(group, F.col("rep").alias("_id"), "n", "members")
-    sets = df.select(group, F.col(ident).alias("_id"), item).distinct().join(big, [group, "_id"])
+    sets = df.select(group, F.col(ident).alias("_id"), item).join(big, [group, "_id"])
     common = sets.groupBy(group, item).agg(F.count(F.lit(1)).alias("_freq"))
     useful = sets.join(common.filter(F.col("_freq") > 1), [group, item])
     ranked = o.ordered(useful, [group, "_id"], ["_freq", item], _rank=o.row_number())

@@ -31,7 +31,6 @@ from discframe.operators.timeline import join_drift_step, rebase_step
 
 #: How far out of order rows may come, unless a job is told otherwise.
 DELAY = "10 minutes"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class OrderedFold(StatefulProcessor):
@@ -114,9 +113,8 @@ def fold_stream(
 
     A row whose ``end`` is true (if there is such a column) is not folded: *finish* turns
     the open state into a last output, and the key starts afresh.  Where ``end`` is null the
-    row only moves the watermark.
+    row only moves the watermark.  The session's state store is the one ``session.configure`` sets.
     """
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     if "end" not in df.columns:
         df = df.withColumn("end", F.lit(False))
     field = {f.name: f for f in df.schema.fields}
