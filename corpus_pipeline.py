@@ -3,6 +3,15 @@
 Quality rules reject documents, of near duplicates one stays, documents that hold passages
 of the benchmark go, sources are mixed to their weights (a document stands there as often as
 the mix takes it), and what is left is dealt to shards of bounded size.
+
+Every stage works on all that the one before it kept.  Documents with a null or empty text have
+no words: the first stage rejects them, and where a stage is run by itself they are no near
+duplicates of anything, hold no passage of the benchmark, and are no part of a mix.  A null key
+or source is a value like others.  Repeated rows are one group of near duplicates, of which one
+stays; of equal keys the one whose text's hash is least.  Very long texts are
+read whole.  Without documents every stage gives an empty table with its columns, without a
+benchmark nothing is contaminated.  Further columns are carried, whatever they are called, but
+for those that the last stage makes (``shard depth page n_bytes``), which replace them.
 """
 
 from __future__ import annotations
@@ -16,9 +25,14 @@ from discframe.llm.queries import SHARD_BYTES
 from discframe.session import configure
 
 
+def _whole(docs: DataFrame, *read_: str) -> DataFrame:
+    """The columns a stage reads, and every row whole as one column, so that no names clash."""
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__doc"), *read_)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(docs, carry=docs.columns)
-    return judged.filter("kept").select(*docs.columns)
+    judged = quality.judge(_whole(docs, "doc_id", "text", "lang"), carry=["__doc"])
+    return judged.filter("kept").select("__doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,18 +40,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = winnow.decontaminate(docs, read(spark, sf_dir, "benchmark"), carry=docs.columns)
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+    judged = winnow.decontaminate(_whole(docs, "doc_id", "text"), read(spark, sf_dir, "benchmark"), carry=["__doc"])
+    return judged.filter(~F.col("contaminated")).select("__doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, carry=docs.columns)
+    mixed = mixing.mix(_whole(docs, "doc_id", "text", "source"), carry=["__doc"])
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return mixed.filter(F.col("copies") > 0).select(*docs.columns, times.alias("__copy")).drop("__copy")
+    return mixed.filter(F.col("copies") > 0).select("__doc.*", times.alias("__copy")).drop("__copy")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs, limit=SHARD_BYTES, carry=docs.columns)
+    made = ("shard", "depth", "page", "n_bytes")
+    return sharding.shard(docs, limit=SHARD_BYTES, carry=[c for c in docs.columns if c not in made])
 
 
 STAGES = [
