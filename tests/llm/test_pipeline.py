@@ -58,3 +58,27 @@ def test_empty(spark):
     for _, stage in pipeline.STAGES:
         docs = cut_lineage(stage(spark, docs, FOLDER))
         assert docs.count() == 0
+
+
+def test_cases_of_the_stages(spark):
+    """Nulls, empty and very long texts, repeated rows and clashing columns, stage by stage."""
+    passage = next(r["text"] for r in read(spark, FOLDER, "benchmark").collect() if len(r["text"].split()) >= 12)
+    plain = [r["text"] for r in read(spark, FOLDER, "documents").collect() if r["text"] and len(r["text"].split()) > 60][:40]
+    rows = [(i, t, "en", f"src{i % 3}", 1, "kept", "size") for i, t in enumerate(plain)]
+    rows += [(100, None, None, None, 2, "a", "b"), (101, "", "en", "src0", 2, "a", "b"), (None, plain[0], "en", None, 2, "a", "b")]
+    rows += [(102, "w " * 10 + passage, "en", "src1", 3, "a", "b"), (103, " ".join(f"v{i} word" for i in range(40_000)), "en", "src1", 3, "a", "b")]
+    rows += [rows[5]] * 3
+    kinds = "doc_id long, text string, lang string, source string, n_words int, kept string, shard string"
+    docs = spark.createDataFrame(rows, kinds)
+    stages = dict(pipeline.STAGES)
+    names = docs.columns
+    got = {n: stages[n](spark, docs, FOLDER).collect() for n in stages}
+    for name in ("quality_rules", "near_duplicates", "decontamination", "mixing"):
+        assert got[name] and list(got[name][0].asDict()) == names, name
+    ids = {n: [r["doc_id"] for r in v] for n, v in got.items()}
+    assert not {100, 101} & set(ids["quality_rules"])
+    assert ids["near_duplicates"].count(5) == 1 and {100, 101, 103} <= set(ids["near_duplicates"])
+    assert 102 not in ids["decontamination"] and {100, 101, 103, None} <= set(ids["decontamination"])
+    assert not {100, 101} & set(ids["mixing"])
+    assert sorted(map(str, ids["sharding"])) == sorted(str(r[0]) for r in rows)
+    assert all(set(r["shard"]) <= set("01") for r in got["sharding"])
