@@ -14,7 +14,9 @@ rate, which both hold.
 Labelled rows and the pool are bounded samples by a hash of the key (*sample_rows* of each);
 every row of the table is scored from its whole text.  A null text is empty; null metadata are
 a value of their own.  Without labelled rows of both kinds every score is 0.5.  Repeated
-rows get equal scores.
+rows get equal scores.  Very long texts are read whole.  Rows that are equally sure are taken
+in the order of their views' values.  An empty table gives no rows.  Columns not named are not
+read, whatever they are called.
 """
 
 from __future__ import annotations

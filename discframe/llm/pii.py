@@ -13,7 +13,9 @@ Patterns are written so that they run in time linear in the text: a run of digit
 entered at its first digit only, and a mail address is grown from its ``@``.
 
 A null text is empty and has no spans.  Rows are independent: repeated rows give
-repeated results, and other columns of the input are not looked at.
+repeated results, and other columns of the input are not looked at, whatever they are
+called.  Very long texts are searched whole, in time that follows their length.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ they go to overflow pages of the same prefix, filled in turn; a single row above
 has a page of its own.
 
 Nulls: a null text has no bytes, a null key hashes as an empty one.  An empty table has no
-shards.
+shards.  A very long text is hashed whole.  Columns that are not carried are not read; a carried
+one may not be called ``shard``, ``depth``, ``page`` or ``n_bytes``.
 """
 
 from __future__ import annotations
