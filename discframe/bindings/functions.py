@@ -141,26 +141,43 @@ def _(spark, sf_dir):
     )
 
 
-@query("f6_timecode_seconds", """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 0.0 ELSE
-  ((event_id % 3 * 3600 + event_id % 60 * 60 + event_id % 59) * 60 + event_id % 60) * 1001 / 60000.0 END AS seconds FROM events""")
+_CLOCK = """c AS (SELECT *, hour(ts) AS h, minute(ts) AS m, second(ts) AS s, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(round(value * 100) AS BIGINT) AS pts FROM events)"""
+
+
+def _clocked(spark, sf_dir):
+    """Events with the parts of their time, their counter and their ticks."""
+    stamp = F.col("ts").cast("timestamp")
+    return b.table(spark, sf_dir, "events").withColumns(
+        {
+            "h": F.hour(stamp).cast("long"),
+            "m": F.minute(stamp).cast("long"),
+            "s": F.second(stamp).cast("long"),
+            "k": F.get_json_object("props", "$.k").cast("long"),
+            "pts": F.round(F.col("value") * 100).cast("long"),
+        }
+    )
+
+
+@query("f6_timecode_seconds", f"""WITH {_CLOCK}
+SELECT event_id, CASE WHEN event_type = 'error' THEN 0.0 ELSE ((h * 3600 + m * 60 + s) * 60 + k % 60) * 1001 / 60000.0 END AS seconds FROM c""")
 def _(spark, sf_dir):
-    key = F.col("event_id")
-    code = F.format_string("%02d:%02d:%02d:%02d", key % 3, key % 60, key % 59, key % 60)
-    text = F.when(key % 11 == 0, F.lit("bad")).otherwise(code)
-    return b.table(spark, sf_dir, "events").select("event_id", clock.timecode_seconds(text).alias("seconds"))
+    # The time of an event with its counter as the frame; errors have no time.
+    code = F.format_string("%02d:%02d:%02d:%02d", "h", "m", "s", F.col("k") % 60)
+    text = F.when(F.col("event_type") == "error", F.col("event_type")).otherwise(code)
+    return _clocked(spark, sf_dir).select("event_id", clock.timecode_seconds(text).alias("seconds"))
 
 
-@query("f7_bcd_seconds", """WITH e AS (SELECT event_id, event_id % 26 AS h, event_id % 60 AS m, event_id % 59 AS s, event_id % 25 AS f, event_id % 4 AS r FROM events)
+@query("f7_bcd_seconds", f"""WITH {_CLOCK}, e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN h + 20 ELSE h END AS h, m, s, k % 25 AS f, pts % 4 AS r FROM c)
 SELECT event_id, CASE WHEN h > 23 THEN 0.0 WHEN r = 3 THEN ((h * 3600 + m * 60 + s) * 30 + f) * 1001 / 30000.0
   WHEN r = 1 THEN ((h * 3600 + m * 60 + s) * 25 + f) / 25.0 ELSE CAST(h * 3600 + m * 60 + s AS DOUBLE) END AS seconds FROM e""")
 def _(spark, sf_dir):
-    key = F.col("event_id")
-
     def bcd(v):
         return F.floor(v / 10) * 16 + v % 10
 
-    packed = ((bcd(key % 26) * 256 + bcd(key % 60)) * 256 + bcd(key % 59)) * 256 + (key % 4 * 64 + bcd(key % 25))
-    return b.table(spark, sf_dir, "events").select("event_id", clock.bcd_seconds(packed).alias("seconds"))
+    hour = F.when(F.col("event_type") == "error", F.col("h") + 20).otherwise(F.col("h"))
+    last = F.pmod(F.col("pts"), F.lit(4)) * 64 + bcd(F.col("k") % 25)
+    packed = ((bcd(hour) * 256 + bcd(F.col("m"))) * 256 + bcd(F.col("s"))) * 256 + last
+    return _clocked(spark, sf_dir).select("event_id", clock.bcd_seconds(packed).alias("seconds"))
 
 
 @query("f8_timestamps", """WITH e AS (SELECT event_id, CAST(round(value * 100) AS BIGINT) * 977 AS t FROM events),
@@ -181,11 +198,11 @@ def _(spark, sf_dir):
     )
 
 
-@query("f9_parse_timestamp", """SELECT o_orderkey, CAST(o_orderkey % 5 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 59 AS DOUBLE) + 0.5 AS seconds FROM orders""")
+@query("f9_parse_timestamp", f"""WITH {_CLOCK}
+SELECT event_id, CAST(h * 3600 + m * 60 + s AS DOUBLE) + (k % 4) / 4.0 AS seconds FROM c""")
 def _(spark, sf_dir):
-    key = F.col("o_orderkey")
-    text = F.format_string(" %02d:%02d:%02d.500000000 ", key % 5, key % 60, key % 59)
-    return b.table(spark, sf_dir, "orders").select("o_orderkey", clock.parse_ts(text).alias("seconds"))
+    text = F.format_string(" %02d:%02d:%02d.%02d0000000 ", "h", "m", "s", F.col("k") % 4 * 25)
+    return _clocked(spark, sf_dir).select("event_id", clock.parse_ts(text).alias("seconds"))
 
 
 _CURRENT = ", ".join(f"'{c}'" for c in lang.CURRENT)
@@ -227,22 +244,24 @@ def _(spark, sf_dir):
     return docs.select("doc_id", lang.describe_track(F.col("d")).alias("x")).select("doc_id", "x.*")
 
 
-@query("f14_tick_diff", """SELECT event_id, ((event_id * 1000003 - event_id * event_id * 7919) % 8589934592 + 8589934592) % 8589934592 AS diff FROM events""")
+@query("f14_tick_diff", f"""WITH {_CLOCK}
+SELECT event_id, ((pts * 1000003 - k * pts * 7919) % 8589934592 + 8589934592) % 8589934592 AS diff FROM c""")
 def _(spark, sf_dir):
-    key = F.col("event_id")
-    return b.table(spark, sf_dir, "events").select("event_id", clock.tick_diff(key * 1_000_003, key * key * 7919).alias("diff"))
+    first, second = F.col("pts") * 1_000_003, F.col("k") * F.col("pts") * 7919
+    return _clocked(spark, sf_dir).select("event_id", clock.tick_diff(first, second).alias("diff"))
 
 
-@query("f15_source_ref", """SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN printf('%05d', o_orderkey % 1000) || '.mpls'
-  WHEN o_custkey % 3 = 1 THEN printf('%02d', o_orderkey % 100) ELSE 'clip' || o_orderkey || '.m2ts' END AS source FROM orders""")
+@query("f15_source_ref", """WITH p AS (SELECT page_id, length(html) AS n, regexp_extract(url, '[^/]*$') AS file FROM pages)
+SELECT page_id, CASE WHEN n % 3 = 0 THEN printf('%05d', n % 100000) || '.mpls' WHEN n % 3 = 1 THEN printf('%02d', n % 100) ELSE file END AS source FROM p""")
 def _(spark, sf_dir):
-    key, kind = F.col("o_orderkey"), F.col("o_custkey") % 3
-    return b.table(spark, sf_dir, "orders").select(
-        "o_orderkey",
+    # The length of a page says what kind of source it is; files are the last part of its address.
+    size = F.length("html").cast("long")
+    return b.table(spark, sf_dir, "pages").select(
+        "page_id",
         x.source_ref(
-            F.when(kind == 0, F.format_string("%05d", key % 1000)),
-            F.when(kind == 1, key % 100),
-            F.concat(F.lit("clip"), key.cast("string"), F.lit(".m2ts")),
+            F.when(size % 3 == 0, F.format_string("%05d", size % 100_000)),
+            F.when(size % 3 == 1, size % 100),
+            F.regexp_extract("url", "[^/]*$", 0),
         ).alias("source"),
     )
 
@@ -273,15 +292,15 @@ def _(spark, sf_dir):
     )
 
 
-@query("f18_catalog_number", """WITH n AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '978-' || (1000000000 + page_id) WHEN 1 THEN 'No. ' || (100000000000 + page_id) ELSE 'SKU ' || page_id END AS raw FROM pages),
+@query("f18_catalog_number", """WITH n AS (SELECT page_id, CASE length(html) % 3 WHEN 0 THEN '978-' || (1000000000 + length(html)) WHEN 1 THEN 'No. ' || (100000000000 + length(html)) ELSE url END AS raw FROM pages),
 d AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM n)
 SELECT page_id, CASE WHEN length(digits) IN (12, 13) THEN digits ELSE raw END AS ean FROM d""")
 def _(spark, sf_dir):
-    key = F.col("page_id")
+    size = F.length("html").cast("long")
     raw = (
-        F.when(key % 3 == 0, F.concat(F.lit("978-"), (1_000_000_000 + key).cast("string")))
-        .when(key % 3 == 1, F.concat(F.lit("No. "), (F.lit(100_000_000_000) + key).cast("string")))
-        .otherwise(F.concat(F.lit("SKU "), key.cast("string")))
+        F.when(size % 3 == 0, F.concat(F.lit("978-"), (1_000_000_000 + size).cast("string")))
+        .when(size % 3 == 1, F.concat(F.lit("No. "), (F.lit(100_000_000_000) + size).cast("string")))
+        .otherwise(F.col("url"))
     )
     return b.table(spark, sf_dir, "pages").select("page_id", x.ean(raw).alias("ean"))
 
